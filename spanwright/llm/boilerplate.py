@@ -6,7 +6,7 @@ words with the page's own name and numbers masked, its shape, the marks that its
 ancestors in the page left on it (list bullet, indent, heading sign, prompt), the
 lines beside it, the first line of its block, and where the page's own name stands.
 
-Training: a bounded sample of pages (``SAMPLE_PAGES``, the smallest hashes of
+Training: a bounded sample of pages (about ``SAMPLE_PAGES``, by the hash of
 scrape_id) is labelled by ``label_page`` from facts that hold for the sample as a
 whole: where a page names its own member, which lines pages without that name
 consist of, and which section headings carry an anchor sign.  The model is fitted
@@ -28,9 +28,9 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from spanwright.llm.crf import LinearChain
+from spanwright.llm.sampling import bounded_sample
 
 #: Pages used to learn the site furniture and to fit the CRF: what the sample costs does not grow with the input.
 SAMPLE_PAGES = 4000
@@ -244,8 +244,7 @@ def main_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(scrape_id, line_no): the non-blank lines of each page's main text, line_no counted from 0 over ``\\n``."""
     spark = pages.sparkSession
     read = pages.select(*_COLUMNS).where("scraped_doc is not null and scrape_id is not null and trim(scraped_doc) <> ''")
-    picked = read.orderBy(F.xxhash64("scrape_id"), "scrape_id").limit(sample_pages).collect()  # at most sample_pages rows
-    sample = {r[0]: tuple(r)[1:] for r in picked}
+    sample = {r[0]: tuple(r)[1:] for r in bounded_sample(read, "scrape_id", sample_pages)}
     model = fit(list(sample.values()))
     used = np.flatnonzero(np.abs(model.weights).max(1) > 1e-4)
     shared = spark.sparkContext.broadcast((used, model.weights[used].astype(np.float16), model.moves, model.first, model.last))  # 2**15 rows at most

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import boilerplate, docpairs, sentences, validity
+from spanwright.llm import boilerplate, docpairs, origin, sentences, validity
 from spanwright.runtime import table
 
 
@@ -20,6 +20,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.invalid_rates(table(spark, sf_dir, "source_files"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.foreign_files(*(table(spark, sf_dir, t) for t in ("source_files", "libraries", "exclude_patterns")))
+
+
+def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.validation(*(table(spark, sf_dir, t) for t in ("source_files", "libraries", "exclude_patterns")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_functions(table(spark, sf_dir, "source_files"), with_text=False)
 
@@ -32,5 +40,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p5_found, p5_pairs, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p4_validation, p5_found, p5_pairs, p9_found)}
 ORACLES: dict[str, str] = {}
