@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.llm import boilerplate, docpairs, origin, sentences, validity
+from spanwright.llm import boilerplate, docpairs, mixing, origin, packing, sentences, tokens, validity
 from spanwright.runtime import table
 
 
@@ -36,9 +36,25 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_functions(table(spark, sf_dir, "source_files"))
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_runs"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_runs"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p4_validation, p5_found, p5_pairs, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p4_validation, p5_found, p5_pairs, p7_pack, p7_report, p8_mix, p8_shares, p9_found)}
 ORACLES: dict[str, str] = {}
