@@ -127,11 +127,12 @@ def toml_fault(text: str) -> str | None:
     if re.search(r"[\x00-\x08\x0b-\x1f\x7f]", text):
         return "char"
     stack: list[str] = []
-    want = "line"  # line, key+, eq, value, end
+    want, now = "line", " "  # want: line, key, eq, value, first, comma, end
     for m in _TOML_TOKEN.finditer(text):
         kind, tok = m.lastgroup, m[0]
         if kind == "ws":
             continue
+        last, now = now, tok
         if kind == "nl":
             if stack and stack[-1] == "[":
                 continue
@@ -162,7 +163,7 @@ def toml_fault(text: str) -> str | None:
                 return "grammar"
         elif want == "eq":
             if kind in ("str", "bare"):
-                if kind == "bare" and not _TOML_KEY.fullmatch(tok):
+                if kind == "bare" and not _TOML_KEY.fullmatch(tok) or tok[0] != "." and last[-1] != ".":
                     return "grammar"
             elif stack and stack[-1] in ("h", "hh"):
                 if tok != "]":

@@ -232,7 +232,7 @@ def validation(files: DataFrame, libraries: DataFrame, patterns: DataFrame, samp
     tp = fp = fn = 0
     for path, content, library in test:
         ids, values = features(path, content, library, names, by.get(library, []))
-        said, truth = values @ w[ids] + w[-1] > 0, label(path, content, library, names)
+        said, truth = bool(values @ w[ids] + w[-1] > 0), label(path, content, library, names)
         tp, fp, fn = tp + (said and truth), fp + (said and not truth), fn + (truth and not said)
-    row = (len(fit_on), len(test), round(tp / (tp + fp), 6) if tp + fp else None, round(tp / (tp + fn), 6) if tp + fn else None)
+    row = (len(fit_on), len(test), round(float(tp / (tp + fp)), 6) if tp + fp else None, round(tp / (tp + fn), 6) if tp + fn else None)
     return files.sparkSession.createDataFrame([row], "n_train long, n_held_out long, precision double, recall double")
