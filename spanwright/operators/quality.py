@@ -1,0 +1,109 @@
+"""Documentation quality: presence, completeness, accuracy, readability, maintainability, issues and patches.
+
+Scores are column expressions over one row per documented item; issues are an
+array column that explodes into rows.  Weights follow the fixed values below.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spanwright.functions.columns import clamp, is_present, jaccard, normalize_type, token_count, type_tokens, weighted_mean
+
+# fixed values: weights of the metrics and of the dimensions
+COMPLETENESS = {"sig": 0.10, "purpose": 0.20, "params": 0.20, "param_types": 0.15, "param_docs": 0.15, "returns": 0.10, "examples": 0.10}
+READABILITY = {"text": 0.6, "code": 0.4}
+OVERALL = {"completeness": 0.35, "accuracy": 0.35, "readability": 0.15, "maintainability": 0.15}
+SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
+TYPE_SAME = 0.8
+
+
+def public_parameters(params: str = "parameters") -> Column:
+    """Parameters without self and cls."""
+    return F.filter(F.coalesce(F.col(params), F.array()), lambda p: ~F.coalesce(p["name"], F.lit("")).isin("self", "cls"))
+
+
+def share(items: Column, test) -> Column:
+    """Share of items that pass; null for none."""
+    n = F.size(items)
+    return F.when(n > 0, F.size(F.filter(items, test)) / n)
+
+
+def completeness(members: DataFrame) -> DataFrame:
+    """(id, param_types, param_defaults, returns, purpose, score): coverage metrics of members with parameters and returns.
+
+    A metric without items is null and its weight goes to the others.
+    """
+    p = public_parameters()
+    purpose = F.when(is_present("docstring"), 1.0).otherwise(0.0)
+    types = share(p, lambda x: is_present(x["type"]))
+    names = share(p, lambda x: is_present(x["name"]))
+    returns = F.when(F.col("member_type").isin("function", "method") & F.col("returns").isNotNull(), F.when(is_present(F.col("returns.type")), 1.0).otherwise(0.0))
+    docs = F.when(F.col("returns").isNotNull(), F.when(is_present(F.col("returns.description")), 1.0).otherwise(0.0))
+    score = weighted_mean([(purpose, COMPLETENESS["purpose"]), (names, COMPLETENESS["params"]), (types, COMPLETENESS["param_types"]), (returns, COMPLETENESS["returns"]), (docs, COMPLETENESS["param_docs"])])
+    r = lambda c: F.round(c, 6)
+    return members.select("id", r(purpose).alias("purpose"), r(types).alias("param_types"), r(returns).alias("returns_type"), r(docs).alias("returns_doc"), r(score).alias("score"))
+
+
+def issues(members: DataFrame) -> DataFrame:
+    """(id, code, severity, place): one row per issue of a member."""
+    p = public_parameters()
+    none = F.array().cast("array<struct<code:string,severity:string,place:string>>")
+
+    def issue(code: str, severity: str, place: Column) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), place.alias("place"))
+
+    untyped = F.transform(F.filter(p, lambda x: ~F.coalesce(is_present(x["type"]), F.lit(False))), lambda x: issue("COMP_PARAM_TYPE_MISSING", "medium", F.concat(F.lit("parameters."), x["name"])))
+    purpose = F.when(~F.coalesce(is_present("docstring"), F.lit(False)), F.array(issue("COMP_PURPOSE_MISSING", "high", F.lit("docstring")))).otherwise(none)
+    callable_ = F.col("member_type").isin("function", "method") & F.col("returns").isNotNull()
+    returns = F.when(callable_ & ~F.coalesce(is_present(F.col("returns.type")), F.lit(False)), F.array(issue("COMP_RETURN_TYPE_MISSING", "medium", F.lit("returns")))).otherwise(none)
+    return members.select("id", F.inline(F.concat(untyped, purpose, returns)))
+
+
+def issue_counts(found: DataFrame) -> DataFrame:
+    return found.groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+def meets(severity: str, least: str = "medium") -> Column:
+    """Is a severity at or above another?"""
+    rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
+    return rank[F.col(severity)] >= SEVERITY[least]
+
+
+def readability(text: str = "docstring") -> list[Column]:
+    """words, sentences, words per sentence, passive share and a score in 0..1 of a text."""
+    words = token_count(text)
+    plain = F.coalesce(F.col(text), F.lit(""))
+    ends = F.regexp_count(plain, F.lit(r"[.!?]+(\s|$)"))
+    sentences = F.when(words > 0, F.greatest(ends, F.lit(1))).otherwise(0)
+    passive = F.regexp_count(plain, F.lit(r"\b(is|are|was|were|be|been|being) [a-z]+(ed|en)\b"))
+    per = F.coalesce(F.try_divide(words.cast("double"), sentences), F.lit(0.0))
+    density = F.coalesce(F.try_divide(passive.cast("double"), sentences), F.lit(0.0))
+    score = F.when(words > 0, clamp(1.0 - F.greatest(per - 25, F.lit(0.0)) / 50 - density / 4, 0.0, 1.0)).otherwise(0.0)
+    return [words.alias("words"), sentences.alias("sentences"), F.round(per, 6).alias("per_sentence"), F.round(density, 6).alias("passive"), F.round(score, 6).alias("score")]
+
+
+def types_equivalent(a: str, b: str) -> Column:
+    """Equal after normalising, or of nearly the same words."""
+    return (normalize_type(a) == normalize_type(b)) | (jaccard(type_tokens(a), type_tokens(b)) >= TYPE_SAME)
+
+
+def aggregate_scores(reports: DataFrame) -> DataFrame:
+    """(dimension, n, mean, median) of (dimension, score), nulls left out; the median is interpolated."""
+    return reports.where("score is not null").groupBy("dimension").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.median("score"), 6).alias("median"))
+
+
+def patches(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(id, code, place, new_value): what would mend an issue of at least medium severity; issues without a rule give none.
+
+    truth: (id, parameters, returns) of the code.
+    """
+    name = F.substring_index("place", ".", -1)
+    joined = found.where(meets("severity")).join(truth.select("id", "parameters", "returns"), "id")
+    default = F.try_element_at(F.transform(F.filter("parameters", lambda p: (p["name"] == name) & is_present(p["default"])), lambda p: p["default"]), F.lit(1))
+    # a missing type is proposed from the kind of the default value
+    kind = F.when(default.rlike(r"^-?[0-9]+$"), "int").when(default.rlike(r"^-?[0-9]*\.[0-9]+$"), "float").when(default.isin("True", "False"), "bool").when(default.rlike("^['\"]"), "str").when(default == "()", "tuple")
+    value = F.when(F.col("code") == "COMP_PARAM_TYPE_MISSING", kind)
+    value = value.when(F.col("code") == "COMP_RETURN_TYPE_MISSING", F.col("returns.type"))
+    return joined.select("id", "code", "place", value.alias("new_value")).where("new_value is not null")
