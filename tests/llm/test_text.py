@@ -71,7 +71,7 @@ def test_crf_learns_a_chain():
     for _ in range(150):
         state, page, gold = 0, [], []
         for _ in range(20):
-            state = state if rng.random() < 0.8 else 1 - state
+            state = state if rng.random() < 0.95 else 1 - state
             page.append([1, 10 + (state if rng.random() < 0.75 else 1 - state)])
             gold.append(state)
         pages.append(page)
