@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.functions.columns import module_from_path
+from spanwright.runtime import shuffle_partitions
+
+
+def source_tree(spark: SparkSession, folder: str, glob: str = "*.py", exclude: str | None = None, partitions: int | None = None) -> DataFrame:
+    """(path, module, content, n_bytes) of the files below a folder or URI, read whole by the executors.
+
+    ``exclude`` is a regex on the path.  Spark's own file sources skip names that
+    begin with an underscore, ``__init__.py`` among them, so only the listing (names,
+    no contents) is made here, as Spark's would be made on the driver.
+    """
+    fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), os.path.abspath(folder))
+    names = [f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, glob)]
+    listed = spark.createDataFrame([(n,) for n in names if not (exclude and re.search(exclude, n))], "path string").repartition(partitions or shuffle_partitions(spark))
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with fs.open_input_file(path) as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([path[len(root.rstrip("/")) + 1 :]]), pa.array([data.decode("utf-8", "replace")]), pa.array([len(data)], pa.int64())], names=["path", "inside", "content", "n_bytes"])
 
-def source_tree(spark: SparkSession, folder: str, glob: str = "*.py", exclude: str | None = None) -> DataFrame:
-    """(path, module, content, n_bytes) of the files below a folder, read whole; ``exclude`` is a regex on the path."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    if exclude:
-        read = read.where(~F.col("path").rlike(exclude))
-    inside = F.regexp_replace("path", "^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "")
-    return read.select("path", module_from_path(inside).alias("module"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("n_bytes"))
+    return listed.mapInArrow(read, "path string, inside string, content string, n_bytes long").select("path", module_from_path("inside").alias("module"), "content", "n_bytes")
 
 
 def excluded(files: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ class _Text(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+            flat = data if self.pre else re.sub(r"\s+", " ", data)
+            self.out.append(flat.lstrip() if not self.pre and self.out and self.out[-1].endswith("\n") else flat)
 
 
 def html_to_text(html: str | None, base: str | None = None) -> tuple[str, list[str]]:
@@ -70,7 +71,7 @@ def html_to_text(html: str | None, base: str | None = None) -> tuple[str, list[s
     p.feed(html or "")
     p.close()
     text = re.sub(r"[ \t]+\n", "\n", "".join(p.out))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+(?=\S)", "\n", text)).strip(), list(dict.fromkeys(p.links))
+    return re.sub(r"\n{3,}", "\n\n", text).strip(), list(dict.fromkeys(p.links))
 
 
 def pages_to_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
