@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # fixed values: elements whose text is no content, elements that start a new block
 _DROP = {"script", "style", "nav", "footer", "header", "aside", "noscript", "template"}
@@ -78,7 +79,7 @@ def pages_to_text(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     """``pages`` key columns stay; ``html`` gives way to ``text string, links array<string>``; null pages give ''."""
     keep = [c for c in pages.columns if c != html]
     read = pages.select(*keep, html)
-    schema = read.drop(html).schema.add("text", "string").add("links", "array<string>")
+    schema = T.StructType([*read.drop(html).schema.fields, T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
