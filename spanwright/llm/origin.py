@@ -143,7 +143,7 @@ def label(path: str | None, content: str, library: str | None, libraries: frozen
     n = len(body)
     if n > 200 and not name.endswith((".json", ".toml")):
         longest = max(body.split("\n"), key=len)
-        if len(longest) > 300 and len(longest) > 0.5 * n and (longest.count(" ") < 0.1 * len(longest) or longest.count(";") > 8):
+        if len(longest) > 300 and len(longest) > 0.5 * n and longest.count(" ") < 0.14 * len(longest):
             return True
         if sum(c.isdigit() for c in body) > 0.35 * n or "payload = '''" in body:
             return True
