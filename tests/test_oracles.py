@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from spanwright.plans import catalogue, graphs, relations, texts
+from spanwright.plans import catalogue, graphs, prose, relations, texts
 
-MODULES = (catalogue, graphs, texts, relations)
+MODULES = (catalogue, graphs, texts, relations, prose)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
