@@ -72,19 +72,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         unit = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
 
         def best(frames: Iterator[pd.DataFrame], ids=ids, unit=unit) -> Iterator[pd.DataFrame]:
-            kept = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            scores = np.full((len(ids), 0), -np.inf)
+            found = np.zeros((len(ids), 0), np.int64)
             for pdf in frames:
+                if not len(pdf) or not len(ids):
+                    continue
                 x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                sims = unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-                vec = pdf["vec_id"].to_numpy()
-                for i in range(len(ids)):
-                    order = np.lexsort((vec, -np.round(sims[i], 9)))
-                    top = [j for j in order[: k + 1] if vec[j] != ids[i]][:k]
-                    kept = pd.concat([kept, pd.DataFrame({"query_id": ids[i], "vec_id": vec[top], "score": np.round(sims[i][top], 9)})])
-            if len(kept):
-                kept = kept.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield kept.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                sims = np.round(unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T, 9)
+                vec = np.broadcast_to(pdf["vec_id"].to_numpy(), sims.shape)
+                sims[vec == ids[:, None]] = -np.inf  # a vector is no neighbour of itself
+                scores, found = np.hstack([scores, sims]), np.hstack([found, vec])
+                order = np.lexsort((found, -scores), axis=1)[:, :k]
+                scores, found = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+            kept = np.isfinite(scores)
+            rows = np.broadcast_to(ids[:, None], scores.shape)
+            yield pd.DataFrame({"query_id": rows[kept], "vec_id": found[kept], "score": scores[kept]})
 
         part = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
