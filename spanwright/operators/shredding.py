@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.runtime import spread
+
 UNREADABLE = object()
 
 ROWS = "record_id long, entity string, item_key string, parent_key string"
@@ -259,13 +261,13 @@ def shred_results(results: DataFrame) -> DataFrame:
     shuffled, for the rows of repeated records, after a map-side distinct.
     """
     read = results.where("module_name is not null").select("result_id", "module_name", "module_interface", "components", "export_records")
-    return read.mapInArrow(lambda it: _over(it, result_rows), ROWS).distinct()
+    return spread(read).mapInArrow(lambda it: _over(it, result_rows), ROWS).distinct()
 
 
 def shred_signatures(members: DataFrame) -> DataFrame:
     """The signature variants of ``inherited_members`` in the same four columns."""
     read = members.select("id", "member_name", "signature").where("signature is not null")
-    return read.mapInArrow(lambda it: _over(it, signature_rows), ROWS).distinct()
+    return spread(read).mapInArrow(lambda it: _over(it, signature_rows), ROWS).distinct()
 
 
 def shredded_levels(results: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanwright.runtime import spread
+
 SCHEMA = "file_id long, kind string, name string, parent string, start_line int, end_line int, doc string, detail string"
 
 
@@ -116,7 +118,7 @@ def components(files: DataFrame) -> DataFrame:
             arrays = [pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array([json.dumps(x) for x in cols[6]], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "kind", "name", "parent", "start_line", "end_line", "doc", "detail"])
 
-    return files.where("content is not null").select("file_id", "content").mapInArrow(run, SCHEMA)
+    return spread(files.where("content is not null").select("file_id", "content")).mapInArrow(run, SCHEMA)
 
 
 def resolve_relative(package: str, level: int, module: str | None) -> str | None:
