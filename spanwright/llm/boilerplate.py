@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 from spanwright.llm.crf import LinearChain
 from spanwright.llm.sampling import bounded_sample
+from spanwright.runtime import spread
 
 #: Pages used to learn the site furniture and to fit the CRF: what the sample costs does not grow with the input.
 SAMPLE_PAGES = 4000
@@ -261,4 +262,4 @@ def main_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
                 lines.extend(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.int32())], names=["scrape_id", "line_no"])
 
-    return read.mapInArrow(run, "scrape_id long, line_no int").distinct()
+    return spread(read).mapInArrow(run, "scrape_id long, line_no int").distinct()

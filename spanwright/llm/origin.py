@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.sampling import bounded_sample
+from spanwright.runtime import spread
 
 #: Labelled rows used for fitting; the cost of fitting does not grow with the input.
 SAMPLE_FILES = 5000
@@ -218,7 +219,7 @@ def foreign_files(files: DataFrame, libraries: DataFrame, patterns: DataFrame, s
                     found.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["file_id"])
 
-    return read.mapInArrow(run, "file_id long").distinct()
+    return spread(read).mapInArrow(run, "file_id long").distinct()
 
 
 def validation(files: DataFrame, libraries: DataFrame, patterns: DataFrame, sample_files: int = SAMPLE_FILES) -> DataFrame:

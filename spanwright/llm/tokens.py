@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.runtime import tokenizer_path, written
+from spanwright.runtime import spread, tokenizer_path, written
 
 #: Vocabulary file within the tokenizer folder; its path is a parameter of ``sized_documents``.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -61,5 +61,5 @@ def sized_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(copies, pa.int64())], names=["doc_id", "source", "n_tokens", "copy_of"])
 
     read = docs.where("doc_id is not null").select("doc_id", source_name().alias("source"), "text")
-    sized = read.mapInArrow(run, "doc_id long, source string, n_tokens long, copy_of long")
+    sized = spread(read).mapInArrow(run, "doc_id long, source string, n_tokens long, copy_of long")
     return written(sized.groupBy("doc_id").agg(F.max(F.struct("source", "n_tokens", "copy_of")).alias("r")).select("doc_id", "r.*"), "sized")

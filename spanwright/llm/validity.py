@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.lexing import javascript_fault, json_fault, line_ends, python_fault, toml_fault
+from spanwright.runtime import spread
 
 LANGUAGE = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "json": "json", "toml": "toml"}
 
@@ -73,7 +74,7 @@ def checked_files(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([LANGUAGE[e] for e in ext], pa.string()), pa.array(kinds, pa.string())], names=["file_id", "library", "language", "fault"])
 
     read = files.select("file_id", "library", extension().alias("ext"), "content").where(F.col("content").isNotNull() & F.col("ext").isin(*LANGUAGE))
-    return read.mapInArrow(run, "file_id long, library string, language string, fault string")
+    return spread(read).mapInArrow(run, "file_id long, library string, language string, fault string")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
