@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.operators import hierarchy, shredding
+from spanwright.plans.registry import CUR, MODS
 from spanwright.runtime import table
 
 
@@ -30,4 +31,19 @@ def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_roots": p1_roots, "p6_found": p6_found, "p6_levels": p6_levels}
-ORACLES: dict[str, str] = {}
+#: Walks every node's ancestors one by one; cycles are cut at 400 steps, more than the test tables are deep.
+_UP = f"""WITH RECURSIVE {CUR}, {MODS}, pre AS (SELECT id, string_split(fully_qualified_name, '.') AS p, unnest(range(1, len(string_split(fully_qualified_name, '.')))) AS k FROM cur),
+ named AS (SELECT pre.id, arg_max(f.id, k) AS parent FROM pre JOIN (SELECT fully_qualified_name AS fqn, min(id) AS id FROM cur GROUP BY 1) f ON f.fqn = array_to_string(p[1:k], '.') WHERE f.id <> pre.id GROUP BY 1),
+ par AS (SELECT c.id, coalesce(x.id, n.parent) AS parent, coalesce(c.name, '') AS name, c.module_id FROM cur c LEFT JOIN cur x ON x.id = c.parent_id LEFT JOIN named n ON n.id = c.id),
+ up AS (SELECT id, parent AS anc, 1 AS d FROM par WHERE parent IS NOT NULL UNION ALL SELECT up.id, par.parent, d + 1 FROM up JOIN par ON par.id = up.anc WHERE par.parent IS NOT NULL AND d < 400),
+ loop AS (SELECT DISTINCT id FROM up WHERE id = anc), below AS (SELECT anc AS id, count(DISTINCT id) AS n FROM up WHERE id <> anc GROUP BY 1),
+ cyc AS (SELECT up.id, min(up.anc) AS root FROM up JOIN loop ON loop.id = up.anc GROUP BY 1),
+ top AS (SELECT up.id, max(d) AS depth, arg_max(anc, d) AS root, string_agg(p.name, '/' ORDER BY d DESC) AS names FROM up JOIN par p ON p.id = up.anc WHERE up.id NOT IN (SELECT id FROM cyc) GROUP BY 1)
+"""
+_P1 = _UP + """SELECT par.id AS member_id, coalesce(cyc.root, top.root, par.id) AS root_id, CASE WHEN cyc.id IS NOT NULL THEN -1 ELSE coalesce(top.depth, 0) END::INT AS depth, coalesce(below.n, 0) AS n_descendants,
+ CASE WHEN cyc.id IS NOT NULL THEN '' ELSE coalesce(m.name, '') || '/' || CASE WHEN top.names IS NULL THEN '' ELSE top.names || '/' END || par.name END AS path,
+ CASE WHEN loop.id IS NOT NULL THEN 'on_cycle' WHEN cyc.id IS NOT NULL THEN 'below_cycle' ELSE 'tree' END AS status
+FROM par LEFT JOIN cyc ON cyc.id = par.id LEFT JOIN top ON top.id = par.id LEFT JOIN below ON below.id = par.id LEFT JOIN loop ON loop.id = par.id LEFT JOIN par r ON r.id = coalesce(top.root, par.id) LEFT JOIN mods m ON m.id = r.module_id"""
+_P1_ROOTS = f"SELECT root_id, count(*) AS n_nodes, max(depth) AS max_depth, count(*) AS range_end FROM ({_P1}) WHERE status = 'tree' GROUP BY 1"
+
+ORACLES: dict[str, str] = {"p1_found": _P1, "p1_roots": _P1_ROOTS}
