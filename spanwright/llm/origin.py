@@ -45,7 +45,7 @@ _LEAD = re.compile(r"(?:\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|--[^\n]*)[ \t]*(?:
 _IMPORT = re.compile(r"^[ \t]*(?:from|import)[ \t]+([A-Za-z_]\w*)", re.M)
 # fixed values: what headers of generated and of copied files say
 _DECLARED = re.compile(
-    r"auto-?\s?generated|@generated|machine[- ](?:written|generated|made)|generated (?:by|from|with)\b|do not (?:edit|modify)|edit \S+ instead|written by (?:tools?/|\S+\.py)|^\W*(?:plugin|source):\s|code generator"
+    r"auto-?\s?generated|@generated|machine[- ](?:written|generated|made)|generated (?:by|from|with)\b|do not (?:edit|modify)|edit \S+ instead|written by (?:tools?/|\S+\.py)|^[^\w\n]*(?:plugin|source):\s|code generator"
     r"|vendored from|taken from|copied (?:unchanged|verbatim|from)|third[- ]party code|sync with the upstream|upstream|bundle \w+ \| licen|copyright the libother",
     re.I | re.M,
 )

@@ -179,3 +179,14 @@ def test_origin(spark, small):
     assert 0 < n < files.count() and found.distinct().count() == n
     extra = files.select("file_id", "file_path", "content", "library").where("false")
     assert foreign_files(extra, libs, pats).count() == 0
+
+
+def test_origin_nulls_long_texts_and_repeats(spark):
+    libs = spark.createDataFrame([(1, "lib"), (2, "other")], "lib_int int, library string")
+    pats = spark.createDataFrame([("lib", "vendor/", "dir"), ("lib", None, "file")], "library string, pattern string, pattern_kind string")
+    gen = "# @generated from x.proto\n" + "".join(f"_F{i} = _Field(name='f{i}', number={i}, wire=0)\n" for i in range(60))
+    own = "import lib.core\n\n\ndef walk(path):\n    return [p for p in path if p]\n"
+    rows = [(i, "lib", f"lib/a{i}.py" if i % 3 else None, "python", gen if i % 2 else own, None, "x") for i in range(60)]
+    rows += [(100, None, None, None, None, None, None), (101, "lib", "lib/e.py", None, "", None, None), (102, "lib", "lib/l.js", None, "//\n" * 50_000 + "x", None, None), rows[1], rows[1]]
+    found = [r.file_id for r in foreign_files(spark.createDataFrame(rows, FILES), libs, pats).collect()]
+    assert len(found) == len(set(found)) and {i for i in range(60) if i % 2} <= set(found) and not {100, 101} & set(found) and not {i for i in range(0, 60, 2)} & set(found)
