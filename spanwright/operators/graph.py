@@ -37,22 +37,55 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
     return one.select("n_nodes", "n_edges", F.coalesce(F.round(F.try_divide("n_edges", pairs), 9), F.lit(0.0)).alias("density"), F.coalesce(F.round(F.try_divide("n_edges", "n_nodes"), 6), F.lit(0.0)).alias("avg_fan_in"), "max_fan_in", "max_fan_out")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 50, reverse: bool = False) -> DataFrame:
-    """(seed, node, level): nodes reachable from each seed, the seed itself excluded even on a cycle."""
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
+    """(seed, node, level): nodes reachable from each seed, the seed itself excluded even on a cycle; without max_depth to the end."""
     e = distinct_edges(edges)
     e = written(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else e, "edges")
     frontier = written(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0)), "bfs")
-    seen = [frontier]
-    for level in range(1, max_depth + 1):
+    seen, level = [frontier], 0
+    while max_depth is None or level < max_depth:
+        level += 1
         step = frontier.select("seed", F.col("node").alias("src")).join(e, "src").select("seed", F.col("dst").alias("node")).distinct()
         known = reduce(DataFrame.unionByName, seen).select("seed", "node")
         frontier = written(step.join(known, ["seed", "node"], "left_anti").withColumn("level", F.lit(level)), "bfs")
         if frontier.isEmpty():
             break
         seen.append(frontier)
+        if len(seen) > 32:  # keeps the plan of a long walk short
+            seen = [written(reduce(DataFrame.unionByName, seen), "bfs")]
     return reduce(DataFrame.unionByName, seen).where("level > 0")
 
 
+def impact(edges: DataFrame, k: int = 10) -> DataFrame:
+    """(node, n_affected, max_depth) of the k nodes with the most nodes that depend on them at any distance; ties go to the least node.
+
+    Counts are exact for every node without a pair per node and dependent: with a
+    hub p, all that reach p (``above``, p included) reach whatever p reaches
+    (``below``, p included).  So a node below p has all of ``above``, and walks to it
+    from elsewhere keep clear of ``above``; a node not below p is reached by walks
+    that keep clear of ``below``.  Depths are walked for the k nodes alone.
+    """
+    e = written(distinct_edges(edges), "edges")
+    nodes = written(nodes_of(e), "nodes")
+    p = degrees(e).orderBy(F.desc(F.col("fan_in") * F.col("fan_out")), "node").limit(1).select("node")
+    p = written(p, "hub")
+    above = written(bfs(e, p, reverse=True).select("node").unionByName(p), "above")
+    below = written(bfs(e, p).select("node").unionByName(p), "below")
+
+    def outside(cut: DataFrame, seeds: DataFrame) -> DataFrame:
+        clear = e.join(cut.select(F.col("node").alias("src")), "src", "left_anti").join(cut.select(F.col("node").alias("dst")), "dst", "left_anti")
+        return bfs(clear, seeds, reverse=True).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("more"))
+
+    more = outside(above, below.join(above, "node", "left_anti")).unionByName(outside(below, nodes.join(below, "node", "left_anti")))
+    base = below.crossJoin(F.broadcast(above.agg(F.count("*").alias("base"))))  # one row
+    # a node does not count itself
+    inside = base.join(above.withColumn("own", F.lit(1)), "node", "left").select("node", (F.col("base") - F.coalesce("own", F.lit(0))).alias("base"))
+    count = (F.coalesce("base", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_affected")
+    top = written(nodes.join(inside, "node", "left").join(more, "node", "left").select("node", count).orderBy(F.desc("n_affected"), "node").limit(k), "impact")
+    depth = bfs(e, top, reverse=True).groupBy(F.col("seed").alias("node")).agg(F.max("level").alias("max_depth"))
+    return top.join(depth, "node", "left").select("node", "n_affected", F.coalesce("max_depth", F.lit(0)).alias("max_depth"))
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, max_edges: int, ends: Column | None = None) -> DataFrame:
     """(path): simple paths from the start nodes of 1 .. max_edges edges; the bound is part of the operator."""
     e = distinct_edges(edges)

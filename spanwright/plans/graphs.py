@@ -91,6 +91,13 @@ def bfs_levels(s, d):
     return G.bfs(e, e.agg(F.min("src").alias("node")), 12).select("node", "level")
 
 
+@query(f"WITH RECURSIVE {_DEPS}, k AS (SELECT count(*) AS n FROM (SELECT src FROM deps UNION SELECT dst FROM deps)), b AS (SELECT min(src) AS node, 0 AS level FROM deps UNION SELECT e.dst, b.level + 1 FROM b JOIN deps e ON e.src = b.node JOIN k ON b.level < k.n) SELECT node, min(level) AS level FROM b WHERE node <> (SELECT min(src) FROM deps) GROUP BY 1")
+def bfs_levels_all(s, d):
+    """Distance in edges from the first module of all modules in reach (no path needs more edges than there are modules)."""
+    e = module_dependencies(s, d)
+    return G.bfs(e, e.agg(F.min("src").alias("node"))).select("node", "level")
+
+
 @query(f"WITH RECURSIVE {_EV}, r AS (SELECT src AS seed, dst AS node FROM ev UNION SELECT r.seed, e.dst FROM r JOIN ev e ON e.src = r.node) SELECT seed, count(*) AS n_reachable FROM r WHERE node <> seed GROUP BY 1")
 def reachability(s, d):
     """How many other event types can follow each, at any distance."""
@@ -106,6 +113,12 @@ def dependency_impact(s, d):
     return G.bfs(e, top, 6, reverse=True).groupBy("seed").agg(F.count("*").alias("n_affected"))
 
 
+@query(f"WITH RECURSIVE {_DEPS}, k AS (SELECT count(*) AS n FROM (SELECT src FROM deps UNION SELECT dst FROM deps)), r AS (SELECT dst AS seed, src AS node FROM deps UNION SELECT r.seed, e.src FROM r JOIN deps e ON e.dst = r.node), top AS (SELECT seed, count(*) AS n_affected FROM r WHERE node <> seed GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10), b AS (SELECT seed, seed AS node, 0 AS level FROM top UNION SELECT b.seed, e.src, b.level + 1 FROM b JOIN deps e ON e.dst = b.node JOIN k ON b.level < k.n), m AS (SELECT seed, node, min(level) AS level FROM b GROUP BY 1, 2), x AS (SELECT seed, max(level) AS max_depth FROM m GROUP BY 1) SELECT seed AS node, n_affected, max_depth FROM top JOIN x USING (seed)")
+def dependency_impact_all(s, d):
+    """The ten modules whose change reaches the most others at any distance, and how far it goes."""
+    return G.impact(module_dependencies(s, d))
+
+
 @query(f"WITH RECURSIVE {_EV}, b AS (SELECT src AS seed, src AS node, 0 AS level FROM ev UNION SELECT b.seed, e.dst, b.level + 1 FROM b JOIN ev e ON e.src = b.node WHERE b.level < 10), m AS (SELECT seed, node, min(level) AS level FROM b GROUP BY 1, 2) SELECT seed, max(level) AS call_depth FROM m WHERE node <> seed GROUP BY 1")
 def call_depth(s, d):
     e = event_graph(s, d)

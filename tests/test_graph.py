@@ -1,5 +1,7 @@
 """Graph operators on small graphs with results worked out by hand."""
 
+import random
+
 import pytest
 
 from spanwright.operators import graph as G
@@ -58,3 +60,20 @@ def test_empty_graph(spark):
 def test_pagerank_sums_to_one(calls):
     ranks = [r["rank"] for r in G.pagerank(calls, 12).collect()]
     assert sum(ranks) == pytest.approx(1.0)
+
+
+def test_impact_counts_all_dependents(spark):
+    pick = random.Random(1)
+    edges = sorted({(pick.randrange(40), pick.randrange(40)) for _ in range(52)})
+    before = {n: {s for s, t in edges if t == n} for n in {x for e in edges for x in e}}
+
+    def walk(node):
+        seen, level, depth = {node}, {node}, 0
+        while level := set().union(*(before[n] for n in level)) - seen:
+            seen |= level
+            depth += 1
+        return len(seen) - 1, depth
+
+    want = sorted(((n, *walk(n)) for n in before), key=lambda x: (-x[1], x[0]))[:10]
+    got = G.impact(spark.createDataFrame(edges, "src int, dst int")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
