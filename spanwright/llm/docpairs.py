@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.lexing import PY_TOKEN, javascript_fault, line_ends
-from spanwright.llm.validity import extension, fault
+from spanwright.llm.lexing import PY_TOKEN, javascript_fault, line_ends, python_fault
+from spanwright.llm.validity import _parses, _python, extension
 from spanwright.runtime import spread
 
 # fixed values: texts that stand where documentation was never written
@@ -150,10 +150,31 @@ def _python_spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int
     return strings, functions
 
 
-def _joined_python(text: str) -> Iterator[tuple[int, str, str]]:
+def _python_ends(text: str, tree: ast.AST) -> dict[int, int]:
+    """End of each function by the start of its header's line."""
+    lines, at = [], 0
+    for line in text.split("\n"):
+        lines.append((at, line))
+        at += len(line) + 1
+    out, rest = {}, [tree]
+    while rest:
+        node = rest.pop()
+        for field in ("body", "orelse", "finalbody", "handlers", "cases"):  # statements alone can hold functions
+            below = getattr(node, field, None)
+            if isinstance(below, list):
+                rest.extend(below)
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            start, line = lines[node.end_lineno - 1]
+            col = node.end_col_offset  # in bytes
+            out[lines[node.lineno - 1][0]] = start + (col if line.isascii() else len(line.encode()[:col].decode()))
+    return out
+
+
+def _joined_python(text: str, whole: bool, tree: ast.AST | None) -> Iterator[tuple]:
     """As-of join, forward: the first string at or after a header's end, with nothing but space and comments between."""
     strings, functions = _python_spans(text)
     starts = [s for s, _ in strings]
+    ends = _python_ends(text, tree) if whole and tree and functions else {}
     for at, end, name in functions:
         i = bisect.bisect_left(starts, end)
         if i == len(starts):
@@ -180,61 +201,79 @@ def _joined_python(text: str) -> Iterator[tuple[int, str, str]]:
             doc = "".join(ast.literal_eval(p) for p in parts)
         except (SyntaxError, ValueError):
             continue
-        yield at, name, inspect.cleandoc(doc)
+        if not whole:
+            yield at, name, inspect.cleandoc(doc)
+            continue
+        begin = text.rfind("\n", 0, at) + 1
+        yield at, name, inspect.cleandoc(doc), text[begin:end].lstrip(), text[end : ends[begin]] if begin in ends else None
 
 
-def _joined_javascript(text: str) -> Iterator[tuple[int, str, str]]:
+def _joined_javascript(text: str, whole: bool) -> Iterator[tuple]:
     """As-of join, backward: the last ``/** */`` that ends before a definition, with only white space between."""
     functions: list[tuple[str, int, int]] = []
     comments: list[tuple[int, int]] = []
-    if javascript_fault(text, functions, comments) is not None:
+    brackets: dict[int, int] | None = {} if whole else None
+    if javascript_fault(text, functions, comments, brackets) is not None:
         return
+    opens = sorted(brackets or ())
     ends = [e for _, e in comments]
     for name, at, start in functions:
         i = bisect.bisect_right(ends, start) - 1
         if i < 0 or text[ends[i] : start].strip():
             continue
         body = text[comments[i][0] + 3 : comments[i][1] - 2]
-        yield at, name, "\n".join(re.sub(r"^\s*\*(?!\*) ?", "", x).strip() for x in body.split("\n")).strip()
+        doc = "\n".join(re.sub(r"^\s*\*(?!\*) ?", "", x).strip() for x in body.split("\n")).strip()
+        if not whole:
+            yield at, name, doc
+            continue
+        head = brackets[opens[bisect.bisect_left(opens, at + len(name))]]  # end of the parameters
+        brace = opens[bisect.bisect_left(opens, head)]
+        yield at, name, doc, text[start:brace].rstrip(), text[brace : brackets[brace]]
+
 
+def pairs_of(ext: str, content: str, whole: bool = False) -> list[tuple]:
+    """(line, name, documentation[, signature, body]) of the documented functions of one valid file.
 
-def pairs_of(ext: str, content: str) -> list[tuple[int, str, str]]:
-    """(line, name, documentation) of the documented functions of one valid file."""
+    The signature runs to the header's colon or before the body's bracket; the body
+    is all that follows, a docstring included (null where nesting is too deep for the
+    exact parser).
+    """
     text = line_ends(content)
     if ext in ("py", "pyi"):
-        if "def" not in text or fault(ext, content) is not None:
+        trees: list[ast.AST] = []
+        if "def" not in text or python_fault(text) or not _parses(text, lambda x: trees.append(_python(x))):
             return []
-        found = _joined_python(text)
+        found = _joined_python(text, whole, trees[0] if trees else None)
     else:
-        found = _joined_javascript(text)
+        found = _joined_javascript(text, whole)
     out, line, last = [], 1, 0
-    for at, name, doc in sorted(found):
+    for at, name, doc, *code in sorted(found):
         line += text.count("\n", last, at)
         last = at
         if not trivial(doc, name):
-            out.append((line, name, doc))
+            out.append((line, name, doc, *code))
     return out
 
 
-_PAIRS = "file_id long, start_line int, func_name string, documentation string"
+_PAIRS = "file_id long, start_line int, func_name string, documentation string, signature string, body string"
 
 
 def documented_functions(files: DataFrame, with_text: bool = True) -> DataFrame:
-    """(file_id, start_line, func_name[, documentation]) of functions with documentation that says something."""
+    """(file_id, start_line, func_name[, documentation, signature, body]) of functions with documentation that says something."""
+    kinds = _PAIRS if with_text else ", ".join(_PAIRS.split(", ")[:3])
+    names = [x.split()[0] for x in kinds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore")
         for b in batches:
             ids, rows = [], []
             for i, e, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found = pairs_of(e, c)
+                found = pairs_of(e, c, with_text)
                 ids.extend([i] * len(found))
                 rows.extend(found)
-            lines, names, docs = zip(*rows) if rows else ((), (), ())
-            cols = [pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(names, pa.string())]
-            if with_text:
-                cols.append(pa.array(docs, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=["file_id", "start_line", "func_name", "documentation"][: len(cols)])
+            lines, *texts = list(zip(*rows))[: len(names) - 1] if rows else [()] * (len(names) - 1)
+            cols = [pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), *(pa.array(x, pa.string()) for x in texts)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     read = files.select("file_id", extension().alias("ext"), "content").where(F.col("content").isNotNull() & F.col("ext").isin("py", "pyi", "js", "mjs"))
-    return spread(read).mapInArrow(run, _PAIRS if with_text else _PAIRS.rsplit(",", 1)[0]).distinct()
+    return spread(read).mapInArrow(run, kinds).distinct()

@@ -242,11 +242,15 @@ class _Frame:
         self.kind, self.after, self.sub, self.ternary = kind, after, sub, 0
 
 
-def javascript_fault(text: str, found: list | None = None, comments: list | None = None) -> str | None:
+_JS_BRACKETS = frozenset("()[]{}")
+
+
+def javascript_fault(text: str, found: list | None = None, comments: list | None = None, brackets: dict | None = None) -> str | None:
     """Pushdown recogniser of the statement and expression skeleton of a module.
 
     found gets (name, position of the name, position where the definition starts)
-    of function declarations and methods; comments gets (start, end) of ``/** */``.
+    of function declarations and methods; comments gets (start, end) of ``/** */``;
+    brackets gets the end of each bracket by its start.
     state: ``stmt`` a statement may start; ``operand``; ``operator``; ``member`` a
     class element or object key may start; ``aftkey`` right after such a key; and
     short ones that expect one particular thing.
@@ -260,6 +264,8 @@ def javascript_fault(text: str, found: list | None = None, comments: list | None
     start = name_at = 0
     name = ""
     key_mod = False
+    opened: list[int] = []
+    last_bracket = -1  # some tokens are looked at twice
     match = _JS_TOKEN.match
     if text.startswith("#!"):
         at = (text + "\n").index("\n")
@@ -319,6 +325,12 @@ def javascript_fault(text: str, found: list | None = None, comments: list | None
             if not r:
                 return "unterminated"
             at, kind, tok = r.end(), "str", "//"
+        if brackets is not None and pos > last_bracket and tok in _JS_BRACKETS:
+            last_bracket = pos
+            if tok in "([{":
+                opened.append(pos)
+            elif opened:
+                brackets[opened.pop()] = pos + 1
         if kind == "id" and not tok.isascii() and not tok.lstrip("#").replace("$", "_").replace("\u200c", "").replace("\u200d", "").isidentifier():
             return "char"
         was_newline, newline = newline, False

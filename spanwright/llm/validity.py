@@ -43,8 +43,8 @@ def _parses(text: str, parse) -> bool:
     return True
 
 
-def _python(text: str) -> None:
-    compile(text, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+def _python(text: str) -> ast.AST:
+    return compile(text, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
 
 
 def fault(ext: str, content: str) -> str | None:

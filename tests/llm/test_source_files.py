@@ -153,6 +153,19 @@ class K {
     assert pairs_of("js", src) == [(4, "one", "Closes the file after use."), (13, "three", "Turns left twice.\n@param {number} a angle")]
 
 
+def test_pairs_carry_signature_and_body(spark):
+    py = "class K:\n    async def f(self, a={'é': 1}) -> int:  # ü\n        'Walks the whole tree.'\n        s = 'é'; return 'ü'  # end\n\n    def g(self): 'Reads at most ten bytes.'\n\nx = 1\n"
+    js = "class K {\n  /** Turns left twice. */\n  static three(a = {b: ')'}, c = (1)) /* { */ {\n    if (/[}]/.test(`${a}`)) { return () => { return 1; }; }\n  }\n}\n/** Closes the file after use. */\nexport async function one([x]) { return {x}; }\n"
+    files = [(1, "l", "a.py", None, py, None, None), (2, "l", "a.js", None, js, None, None)]
+    got = {r.func_name: (r.signature, r.body) for r in documented_functions(spark.createDataFrame(files, FILES)).collect()}
+    assert got == {
+        "f": ("async def f(self, a={'é': 1}) -> int:", "  # ü\n        'Walks the whole tree.'\n        s = 'é'; return 'ü'"),
+        "g": ("def g(self):", " 'Reads at most ten bytes.'"),
+        "three": ("static three(a = {b: ')'}, c = (1)) /* { */", "{\n    if (/[}]/.test(`${a}`)) { return () => { return 1; }; }\n  }"),
+        "one": ("export async function one([x])", "{ return {x}; }"),
+    }
+
+
 @pytest.mark.parametrize("doc", ["", "  ", "TODO", "TODO: write this", "_summary_", "<description>", "...", "-", "See above.", "Same as other.", "Method load_tile.", "Loads the tile.", "This function loads the tile.", "load_tile()", ":param x:\n:returns:", "Args:\n    x (_type_): _description_", "N/A", "Docstring for load_tile.", "Inherited from base.", "Please document this function before the next release!"])
 def test_trivial(doc):
     assert trivial(doc, "load_tile")
