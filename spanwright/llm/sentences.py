@@ -240,6 +240,10 @@ class Knowledge:
         return "^" + word in self.names
 
 
+def _bare(word: str) -> str:
+    return word.rstrip(".,;:!?…\"”»)")
+
+
 def _goes_on(text: str, start: int, end: int, sent: int, run: re.Match, close: int, opened: int | None, know: Knowledge, library: str | None) -> bool:
     """Does the sentence from ``sent`` go on after a terminator whose closing marks end at ``close``?"""
     last = run[0][-1]
@@ -264,7 +268,7 @@ def _goes_on(text: str, start: int, end: int, sent: int, run: re.Match, close: i
     plain = word.lstrip(_OPENERS)
     while not plain and (m := _NEXT.search(text, m.end(), end)):  # « with a space after it
         plain = m[0].lstrip(_OPENERS)
-    bare = plain.rstrip(".,;:!?…\"”»)")
+    bare = _bare(plain)
     if word[0] in "—–-,;:" or word[:1] in "»”’":
         return True
     if last in "।॥؟۔":
@@ -422,8 +426,20 @@ def _knowledge(rows) -> Knowledge:
     return Knowledge({t: (True, v == "end") for t, v in rows if v != "name"}, {t for t, v in rows if v == "name"})
 
 
-def _tokens_of(text: str) -> set[str]:
-    return {w.strip("()[]{}\"“”„«»‹›'’,;:!?") for w in text.split()} | {w.strip("()[]{}\"“”„«»‹›'’.,;:!?…") for w in text.split()}
+def keys_of(text: str) -> set[str]:
+    """All that the splitter can look up while it splits the text, and more: no other entry of the dictionary can matter."""
+    keys: set[str] = set()
+    for m in _NEXT.finditer(text):
+        bare = _bare(m[0].lstrip(_OPENERS))
+        keys |= {bare, bare + ".", "^" + bare}
+    for m in re.finditer(r"\S+", text):
+        word = m[0]
+        last = max((i for i, c in enumerate(word) if c.isalnum()), default=-1)
+        for run in _RUN.finditer(word, last + 1):
+            stop, head = "." if run[0] == "." else "…", word[: run.start()]
+            keys.add(head + stop)
+            keys.update(head[i + 1 :] + stop for i, c in enumerate(head) if not c.isalnum())  # a token or a sentence may start there
+    return keys
 
 
 def split_sentences(docs: DataFrame) -> DataFrame:
@@ -431,8 +447,8 @@ def split_sentences(docs: DataFrame) -> DataFrame:
 
     One pass over all texts gathers the corpus's evidence, a second one splits.
     The decided tokens (abbreviations and names only) are broadcast while there
-    are at most DICTIONARY_LIMIT of them; beyond, every document gets those of its
-    own tokens by a join.
+    are at most DICTIONARY_LIMIT of them; beyond, every document gets by a join those
+    that its text can ask for (``keys_of``).
     """
     spark = docs.sparkSession
     decided = written(corpus_decisions(docs), "sentences")
@@ -457,7 +473,7 @@ def split_sentences(docs: DataFrame) -> DataFrame:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [(i, t) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in _tokens_of(x)]
+            flat = [(i, t) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in keys_of(x)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in flat], pa.int64()), pa.array([t for _, t in flat], pa.string())], names=["doc_id", "token"])
 
     own = read.select("doc_id", "text").mapInArrow(tokens, "doc_id long, token string").distinct().join(decided, "token")

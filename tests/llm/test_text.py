@@ -108,3 +108,23 @@ def test_boilerplate_nulls_and_repeats(spark):
     assert main_lines(spark.createDataFrame([], schema)).count() == 0
     page = Page("a\r\nlib.A", "u/lib.m.A_9z.html", None, "lib")
     assert page.title == [False, True] and len(features(page)) == 2
+
+
+@pytest.mark.parametrize("text,known", [
+    ("The first one ends. numpyx is another library.", [("^numpyx", "name")]),
+    ("He met Prof. Abc in town. Abc saw Abc again, with Abc there, and left it.", [("Prof.", "end"), ("Abc.", "mid"), ("Abc", "name")]),
+    ("It lies (in “cf. Abc) and ('vgl. Abc) so.", [("cf.", "mid"), ("vgl.", "end"), ("Abc", "name")]),
+    ("これは例です。cf. Abc is there.", [("cf.", "mid")]),
+])
+def test_a_documents_keys_stand_for_the_dictionary(text, known):
+    keys = S.keys_of(text)
+    assert {t for t, _ in known} <= keys
+    assert S.sentences(text, None, S._knowledge(known)) == S.sentences(text, None, S._knowledge([x for x in known if x[0] in keys]))
+
+
+def test_lower_case_names_start_sentences_on_both_paths(spark, monkeypatch):
+    rows = [(i, f"numpyx {w} it. The array {w}. numpyx is fast.") for i, w in enumerate(["reads", "keeps", "sorts", "finds"])]
+    docs = spark.createDataFrame([(i, t, "lib") for i, t in rows], "doc_id long, text string, library string")
+    first = sorted(map(tuple, S.split_sentences(docs).collect()))
+    monkeypatch.setattr(S, "DICTIONARY_LIMIT", -1)
+    assert sorted(map(tuple, S.split_sentences(docs).collect())) == first and len(first) == 12
