@@ -414,7 +414,7 @@ def corpus_decisions(docs: DataFrame) -> DataFrame:
                         continue
                     tokens.append(token)
                     verdicts.append("end" if told[1] else "mid")
-                elif c[0] >= max(2, 0.05 * (c[0] + c[1])) if token[0] == "^" else c[0] == 0 and c[1] > 0:
+                elif c[0] >= max(2, 0.05 * (c[0] + c[1])) if token[0] == "^" else c[1] > 0 and c[0] <= 0.05 * (c[0] + c[1]):
                     tokens.append(token)
                     verdicts.append("name")
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(verdicts, pa.string())], names=["token", "verdict"])

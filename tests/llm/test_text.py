@@ -128,3 +128,10 @@ def test_lower_case_names_start_sentences_on_both_paths(spark, monkeypatch):
     first = sorted(map(tuple, S.split_sentences(docs).collect()))
     monkeypatch.setattr(S, "DICTIONARY_LIMIT", -1)
     assert sorted(map(tuple, S.split_sentences(docs).collect())) == first and len(first) == 12
+
+
+def test_names_are_decided_by_share(spark):
+    texts = ["We use Lazysensor here."] * 40 + ["Lazysensor is new.", "We meet Often here.", "Often it rains.", "They went often."]
+    docs = spark.createDataFrame([(i, x, "lib") for i, x in enumerate(texts)], "doc_id long, text string, library string")
+    names = {r.token for r in S.corpus_decisions(docs).collect() if r.verdict == "name"}
+    assert "Lazysensor" in names and "Often" not in names
