@@ -123,7 +123,7 @@ def members_by_doc_format(s, d):
 @query(f"WITH {CUR} SELECT id, CASE doc_format WHEN 'structured' THEN docstring END AS structured, CASE doc_format WHEN 'raw' THEN substring(docstring, 1, 2000) END AS raw_text FROM cur")
 def documentation_by_format(s, d):
     f = F.col("doc_format")
-    return cur(s, d, "doc_format", "docstring").select("id", F.when(f == "structured", F.col("docstring")).alias("structured"), F.when(f == "raw", F.substring("docstring", 1, 2000)).alias("raw_text"))
+    return cur(s, d, "doc_format", "docstring").select("id", F.when(f == "structured", F.col("docstring")).alias("structured"), F.when(f == "raw", F.col("docstring")).alias("raw_text"))
 
 
 @query(f"WITH {CUR} SELECT p.id AS class_id, count(*) AS n_children, count_if(c.member_type = 'method') AS n_methods FROM cur c JOIN cur p ON c.parent_id = p.id WHERE p.member_type = 'class' GROUP BY 1")

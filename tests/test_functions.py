@@ -41,3 +41,11 @@ def test_means(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r.x for r in df.select(C.cosine("a", "b").alias("x")).collect()] == [1.0, 0.0, None]
+
+
+def test_raw_documentation_is_whole(spark, monkeypatch):
+    from spanwright.plans import catalogue
+
+    rows = spark.createDataFrame([(1, "raw", "x" * 5000)], "id long, doc_format string, docstring string")
+    monkeypatch.setattr(catalogue, "cur", lambda s, d, *names: rows)
+    assert catalogue.documentation_by_format(spark, "").first().raw_text == "x" * 5000
