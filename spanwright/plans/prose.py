@@ -52,6 +52,13 @@ def xref_candidates(s, d):
     return table(s, d, "documents").where("lang = 'en' and text is not null").select("doc_id", F.size(X.xref_candidates("text")).alias("n_candidates"))
 
 
+@query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '{X.IDENTIFIER}'), lambda x: regexp_matches(x, '^([a-z_][A-Za-z0-9_]*([.][A-Za-z0-9_]+)+|([A-Z][a-z0-9]+){{2,}})$'))))::INT AS n_candidates FROM documents WHERE split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'en' AND text IS NOT NULL")
+def xref_candidates_all(s, d):
+    """As xref_candidates, for every spelling of the language (EN, en-XX)."""
+    english = F.split(F.translate(F.lower(F.trim("lang")), "_", "-"), "-")[0] == "en"
+    return table(s, d, "documents").where(english & F.col("text").isNotNull()).select("doc_id", F.size(X.xref_candidates("text")).alias("n_candidates"))
+
+
 @query(f"WITH {CUR}, n AS (SELECT DISTINCT name FROM cur WHERE member_type = 'class'), w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(text, '{X.IDENTIFIER}'), lambda x: regexp_matches(x, '^([A-Z][a-z0-9]+){{2,}}$'))) AS name FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS n_mentions, count(n.name) AS n_known, round(count(n.name) / count(*), 6)::DOUBLE AS known_share FROM w LEFT JOIN n USING (name) GROUP BY 1")
 def internal_xrefs(s, d):
     """Share of a document's CapWord mentions that are classes of the catalogue."""

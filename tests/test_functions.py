@@ -49,3 +49,12 @@ def test_raw_documentation_is_whole(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "raw", "x" * 5000)], "id long, doc_format string, docstring string")
     monkeypatch.setattr(catalogue, "cur", lambda s, d, *names: rows)
     assert catalogue.documentation_by_format(spark, "").first().raw_text == "x" * 5000
+
+
+def test_english_in_every_spelling(spark, monkeypatch):
+    from spanwright.plans import prose
+
+    langs = ["en", "EN", "en-XX", "en_GB", "enm", "fr", None]
+    docs = spark.createDataFrame([(i, x, "Call lib.load_tile.") for i, x in enumerate(langs)], "doc_id long, lang string, text string")
+    monkeypatch.setattr(prose, "table", lambda s, d, name: docs)
+    assert sorted(r.doc_id for r in prose.xref_candidates_all(spark, "").collect()) == [0, 1, 2, 3]
