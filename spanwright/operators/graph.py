@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.runtime import written
+from spanwright.runtime import discard, written, written_view
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -38,22 +38,63 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
-    """(seed, node, level): nodes reachable from each seed, the seed itself excluded even on a cycle; without max_depth to the end."""
+    """(seed, node, level): nodes reachable from each seed, the seed itself excluded even on a cycle; without max_depth to the end.
+
+    Only the frontier is joined.  What is known is one table, rewritten when the
+    levels since the last rewrite hold as many rows as it does, so a walk of any
+    depth reads each row a logarithmic number of times and its plan stays short.
+    """
     e = distinct_edges(edges)
     e = written(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else e, "edges")
     frontier = written(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0)), "bfs")
-    seen, level = [frontier], 0
+    known, recent, n_known, n_recent, level = frontier, [], frontier.count(), 0, 0
     while max_depth is None or level < max_depth:
         level += 1
         step = frontier.select("seed", F.col("node").alias("src")).join(e, "src").select("seed", F.col("dst").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, seen).select("seed", "node")
-        frontier = written(step.join(known, ["seed", "node"], "left_anti").withColumn("level", F.lit(level)), "bfs")
+        for part in (known, *recent):
+            step = step.join(part.select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = written(step.withColumn("level", F.lit(level)), "bfs")
+        new = frontier.count()
+        if not new:
+            discard(frontier)
+            break
+        recent.append(frontier)
+        n_recent += new
+        if n_recent >= n_known or len(recent) > 8:
+            old = [known, *recent]
+            known = written(reduce(DataFrame.unionByName, old), "bfs")
+            discard(*(t for t in old if t is not frontier))
+            n_known, n_recent, recent = n_known + n_recent, 0, []
+    return reduce(DataFrame.unionByName, [known, *recent]).where("level > 0")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """(seed, node, path): a shortest path from each seed to every node in reach, the first in order of those of its length.
+
+    max_edges bounds the length where the caller wants that; unset, walks go to the end.
+    """
+    e = written(distinct_edges(edges), "edges")
+    frontier = written(seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path")).distinct(), "paths")
+    known, level = [frontier], 0
+    while max_edges is None or level < max_edges:
+        level += 1
+        step = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), "path")
+        best = step.groupBy("seed", "node").agg(F.min("path").alias("path")).select("seed", "node", F.concat("path", F.array("node")).alias("path"))
+        seen = reduce(DataFrame.unionByName, known).select("seed", "node")
+        frontier = written(best.join(seen, ["seed", "node"], "left_anti"), "paths")
         if frontier.isEmpty():
             break
-        seen.append(frontier)
-        if len(seen) > 32:  # keeps the plan of a long walk short
-            seen = [written(reduce(DataFrame.unionByName, seen), "bfs")]
-    return reduce(DataFrame.unionByName, seen).where("level > 0")
+        known.append(frontier)
+        if len(known) > 16:
+            known = [written(reduce(DataFrame.unionByName, known), "paths")]
+    return reduce(DataFrame.unionByName, known).where("seed <> node")
+
+
+def path_metrics(edges: DataFrame) -> DataFrame:
+    """(connected_pairs, average_nodes, diameter_nodes) over all ordered pairs in reach; lengths count nodes."""
+    d = bfs(edges, nodes_of(distinct_edges(edges)))
+    n = F.col("level") + 1
+    return d.agg(F.count("*").alias("connected_pairs"), F.coalesce(F.round(F.avg(n), 6), F.lit(0.0)).alias("average_nodes"), F.coalesce(F.max(n), F.lit(0)).alias("diameter_nodes"))
 
 
 def impact(edges: DataFrame, k: int = 10) -> DataFrame:
@@ -113,84 +154,159 @@ def simple_cycles(edges: DataFrame, max_edges: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def coupling(edges: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, coupling): 2 per direct edge plus the common successors and predecessors of pairs that are linked.
+def coupling(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, coupling): pairs a < b whose score is at least ``least``: 2 per direct edge, 1 per common successor and per common predecessor.
 
-    Pairs are those with an edge between them, so no pairs within a group are made.
+    Linked or not, every such pair is found.  A node's neighbours are tokens
+    ("out" x, "in" x).  Two nodes that share c tokens share one even after each
+    left out its c - 1 most frequent ones, so only the others make candidates: a
+    hub, frequent by definition, makes pairs only with nodes that have little else.
     """
-    e = distinct_edges(edges).where("src <> dst")
+    e = written(distinct_edges(edges).where("src <> dst"), "edges")
     pair = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg((2 * F.count("*")).alias("direct"))
-    both = []
-    for here, there in (("src", "dst"), ("dst", "src")):
-        x = e.select(F.col(here).alias("a"), F.col(there).alias("n"))
-        y = e.select(F.col(here).alias("b"), F.col(there).alias("n"))
-        both.append(pair.select("a", "b").join(x, "a").join(y, ["b", "n"]).groupBy("a", "b").agg(F.count("*").alias("common")))
-    common = both[0].unionByName(both[1]).groupBy("a", "b").agg(F.sum("common").alias("common"))
-    total = F.col("direct") + F.coalesce("common", F.lit(0))
-    return pair.join(common, ["a", "b"], "left").select("a", "b", total.alias("coupling")).where(F.col("coupling") >= least)
+    tokens = e.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit("out").alias("way"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.lit("in").alias("way"), F.col("src").alias("other")))))
+    often = tokens.groupBy("way", "other").agg(F.count("*").alias("n"))
+    ranked = tokens.join(often.where("n > 1"), ["way", "other"])
+    for _ in range(least - 1):  # leaves out the most frequent token that each node still has
+        top = ranked.groupBy("node").agg(F.max(F.struct("n", "way", "other")).alias("t")).select("node", "t.way", "t.other")
+        ranked = ranked.join(top, ["node", "way", "other"], "left_anti")
+    x, y = ranked.select("way", "other", F.col("node").alias("a")), ranked.select("way", "other", F.col("node").alias("b"))
+    found = x.join(y, ["way", "other"]).where("a < b").select("a", "b").distinct()
+    wanted = written(pair.select("a", "b").unionByName(found).distinct(), "pairs")
+    t1, t2 = tokens.select(F.col("node").alias("a"), "way", "other"), tokens.select(F.col("node").alias("b"), "way", "other")
+    common = wanted.join(t1, "a").join(t2, ["b", "way", "other"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    total = F.coalesce("direct", F.lit(0)) + F.coalesce("common", F.lit(0))
+    return wanted.join(pair, ["a", "b"], "left").join(common, ["a", "b"], "left").select("a", "b", total.alias("coupling")).where(F.col("coupling") >= least)
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """(node, neighbours, coefficient): directed edges among a node's neighbours over k (k - 1).
 
-    Triangles are found from edges (an edge and a common neighbour), not from pairs of neighbours.
+    Triangles are found at their corner of least degree (ties: least node), from
+    where at most sqrt(2 m) edges lead on, so a hub's neighbours never meet each other.
     """
     e = distinct_edges(edges).where("src <> dst")
-    near = e.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))).distinct()
-    k = near.groupBy("node").agg(F.count("*").alias("neighbours"))
-    tri = e.join(near.select(F.col("node").alias("n1"), F.col("other").alias("src")), "src").join(near.select(F.col("node").alias("n1"), F.col("other").alias("dst")), ["n1", "dst"])
-    inside = tri.groupBy(F.col("n1").alias("node")).agg(F.count("*").alias("m"))
+    both = written(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("w")), "pairs")
+    k = both.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("neighbours"))
+    da, db = k.select(F.col("node").alias("a"), F.col("neighbours").alias("ka")), k.select(F.col("node").alias("b"), F.col("neighbours").alias("kb"))
+    low_a = F.struct("ka", "a") < F.struct("kb", "b")
+    turned = both.join(da, "a").join(db, "b").select(
+        F.when(low_a, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(low_a, F.col("b")).otherwise(F.col("a")).alias("high"), "w"
+    )
+    turned = written(turned, "turned")
+    p, q = turned.select("low", F.col("high").alias("p"), F.col("w").alias("wp")), turned.select("low", F.col("high").alias("q"), F.col("w").alias("wq"))
+    tri = p.join(q, "low").where("p < q").join(both.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("w").alias("wpq")), ["p", "q"])
+    corners = tri.select(F.inline(F.array(F.struct(F.col("low").alias("node"), F.col("wpq").alias("w")), F.struct(F.col("p").alias("node"), F.col("wq").alias("w")), F.struct(F.col("q").alias("node"), F.col("wp").alias("w")))))
+    inside = corners.groupBy("node").agg(F.sum("w").alias("m"))
     value = F.when(F.col("neighbours") > 1, F.coalesce("m", F.lit(0)) / (F.col("neighbours") * (F.col("neighbours") - 1))).otherwise(F.lit(0.0))
     return k.join(inside, "node", "left").select("node", "neighbours", F.round(value, 6).alias("coefficient"))
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank): power iteration from 1/n; rank of nodes without successors is spread evenly."""
+    """(node, rank): power iteration from 1/n; rank of nodes without successors is spread evenly.
+
+    Each round writes what the nodes are given once (the row of node null is what
+    nodes without successors would give); ranks follow from it and are not written.
+    """
     e = written(distinct_edges(edges), "edges")
-    nodes = written(nodes_of(e), "nodes")
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+    nodes = written(nodes_of(e).join(out, "node", "left"), "nodes")
     n = nodes.count()
     if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for r in range(rounds):
-        given = ranks.join(out, "node", "left")
-        lost = given.where("k is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        share = given.where("k is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("k")).alias("s")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("s").alias("s"))
-        ranks = nodes.join(share, "node", "left").crossJoin(F.broadcast(lost)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))  # one row
-        ranks = written(ranks, "rank") if r % 3 == 2 else ranks
-    return ranks
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): weakly connected components, named by their least node (minimum label with pointer jumping)."""
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    ranks, last = nodes.withColumn("rank", F.lit(1.0 / n)), None
+    for _ in range(rounds):
+        shares = ranks.join(e.withColumnRenamed("src", "node"), "node", "left").select(F.col("dst").alias("node"), (F.col("rank") / F.coalesce("k", F.lit(1))).alias("s"))
+        given = written(shares.groupBy("node").agg(F.sum("s").alias("s")), "given")
+        lost = given.where("node is null").select("s").first()  # one number
+        base = (1 - damping) / n + damping * (lost[0] if lost else 0.0) / n
+        ranks = nodes.join(given.where("node is not null"), "node", "left").select("node", "k", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        if last is not None:
+            discard(last)
+        last = given
+    return ranks.select("node", "rank")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): weakly connected components, named by their least node.
+
+    Contraction: every node points to the least of itself and its neighbours, the
+    pointers are followed to their ends by doubling, and the graph of the ends is
+    what is left.  At most half of the nodes are ends, so rounds shrink
+    geometrically whatever the diameter; a hub is one aggregate's key.
+    """
+    e = distinct_edges(edges)
+    nodes = written(nodes_of(e), "nodes")
+    left, maps = written(e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "contracted"), []
+    while not left.isEmpty():
+        both = left.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+        to = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("to")), "pointers")
+        while True:  # the pointers lead to lesser nodes, so they end; each turn doubles their reach
+            ahead = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            new = written(to.join(ahead, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
+            moved = not new.where("moved").isEmpty()
+            discard(to)
+            to = written_view(new, "node", "to")
+            if not moved:
+                break
+        maps.append(to)
+        ends = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
+        ends_b = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        step = left.join(ends, "a").join(ends_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        old, left = left, written(step, "contracted")
+        discard(old)
+    final = None
+    for to in reversed(maps):
+        if final is None:
+            final = to
+        else:
+            final = to.join(final.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    if final is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(final, "node", "left").select("node", F.coalesce("to", "node").alias("component"))
+
+
+def communities(edges: DataFrame, rounds: int = 5, least_size: int = 2) -> DataFrame:
+    """(node, community): synchronous label propagation over undirected edges, from each node's own label.
+
+    In each round a node takes the label most of its neighbours and itself bear,
+    the least of equals; ``rounds`` is part of the operator.  Communities of fewer than
+    ``least_size`` nodes are left out.
+    """
     e = distinct_edges(edges).where("src <> dst")
     both = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = written(nodes_of(edges.where("src is not null and dst is not null")).withColumn("component", F.col("node")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", "m").alias("to"), "component")
-        jumped = step.join(labels.select(F.col("node").alias("to"), F.col("component").alias("up")), "to").select("node", F.least("to", "up").alias("new"), "component")
-        new = written(jumped, "labels")
-        labels = new.select("node", F.col("new").alias("component"))
-        if new.where("new <> component").isEmpty():
-            break
-    return labels
+    labels = nodes_of(both).withColumn("label", F.col("node"))
+    for _ in range(rounds):
+        heard = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label").unionByName(labels)
+        votes = heard.groupBy("node", "label").agg(F.count("*").alias("n"))
+        labels = written(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")), "labels")
+    size = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least_size).select("label")
+    return labels.join(size, "label", "left_semi").select("node", F.col("label").alias("community"))
+
 
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """(node, level): Kahn's levels (a node comes after all it depends on, edges run src -> dst); nodes on or behind cycles get -1.
 
-def topological_levels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, level): Kahn's levels (a node comes after all it depends on, edges run src -> dst); nodes on or behind cycles get -1."""
+    A node is at the level after that of its last predecessor.  Each round takes
+    the edges of the level just found off the counts of what is left, to the end.
+    """
     e = written(distinct_edges(edges), "edges")
-    rest, done, level = written(nodes_of(e), "topo"), [], 0
-    while level < max_rounds:
-        live = e.join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi")
-        free = written(rest.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "topo")
+    waits = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("waits"))
+    rest = written(nodes_of(e).join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")), "topo")
+    done, level = [], 0
+    while True:
+        free = written(rest.where("waits = 0").select("node", F.lit(level).alias("level")), "topo")
         if free.isEmpty():
             break
-        done.append(free.withColumn("level", F.lit(level)))
-        rest = written(rest.join(free, "node", "left_anti"), "topo")
+        done.append(free)
+        gone = free.select(F.col("node").alias("src")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"))
+        old = rest
+        rest = written(rest.where("waits > 0").join(gone, "node", "left").select("node", (F.col("waits") - F.coalesce("k", F.lit(0))).alias("waits")), "topo")
+        discard(old)
         level += 1
-    return reduce(DataFrame.unionByName, [*done, rest.withColumn("level", F.lit(-1))])
+        if len(done) > 32:
+            done = [written(reduce(DataFrame.unionByName, done), "topo")]
+    return reduce(DataFrame.unionByName, [*done, rest.select("node", F.lit(-1).alias("level"))])
 
 
 def with_inverse(edges: DataFrame, pairs: dict[str, str]) -> DataFrame:
@@ -205,14 +321,29 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(keep.select(F.col("node").alias("src")), "src", "left_semi").join(keep.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def pointer_targets(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(name, target, broken): follow (name -> target) to its end by pointer jumping; names that run into a cycle are broken."""
+def pointer_targets(pointers: DataFrame) -> DataFrame:
+    """(name, target, broken): follow (name -> target) to its end by pointer jumping; names that run into a cycle are broken and have no target.
+
+    A pointer that does not end within as many steps as there are names never
+    does, so log2 of their number rounds decide; if a name has several targets the least counts.
+    """
     p = written(pointers.where("name is not null and target is not null").groupBy("name").agg(F.min("target").alias("target")), "pointers")
-    for _ in range(max_rounds):
-        step = p.join(p.select(F.col("name").alias("target"), F.col("target").alias("next")), "target", "left").select("name", F.coalesce("next", "target").alias("target"), (F.col("next").isNotNull() & (F.col("next") != F.col("target"))).alias("moved"))
+    n = p.count()
+    for _ in range(n.bit_length() + 1):
+        step = p.join(p.select(F.col("name").alias("target"), F.col("target").alias("next")), "target", "left").select("name", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved"))
         new = written(step, "pointers")
         p = new.select("name", "target")
         if new.where("moved").isEmpty():
             break
     ends = p.select(F.col("name").alias("target"), F.lit(True).alias("again")).distinct()
-    return p.join(ends, "target", "left").select("name", "target", F.coalesce("again", F.lit(False)).alias("broken"))
+    broken = F.coalesce("again", F.lit(False))
+    return p.join(ends, "target", "left").select("name", F.when(~broken, F.col("target")).alias("target"), broken.alias("broken"))
+
+
+def longest_depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): edges of the longest path from a node along src -> dst to a node without successors; nodes that run into a cycle get 0.
+
+    The topological level over reversed edges is just that; what Kahn's rounds leave over lies on or before a cycle.
+    """
+    levels = topological_levels(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return levels.select("node", F.greatest("level", F.lit(0)).alias("depth"))

@@ -23,6 +23,9 @@ construction) are joined by broadcasting just their rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,6 +239,39 @@ def hierarchy(nodes: DataFrame, top_names: DataFrame) -> DataFrame:
     return out.select("member_id", "root_id", "depth", "n_descendants", "path", "status", "range_start", "range_end")
 
 
+def ancestor_links(found: DataFrame) -> DataFrame:
+    """(ancestor_id, member_id, distance): every pair of a node and one above it, from the nested-set ranges of ``hierarchy``.
+
+    Containment of a start in a range becomes an equi-join: an ancestor's range
+    below its start is cut into the at most 2 log2(size) aligned blocks of powers
+    of two that make it up, and a start lies in one block of each width.  The
+    blocks of a range are disjoint, so a pair is found once; nodes without
+    descendants take part as starts only.  Rows whose status is not ``tree`` have no ranges and give no pairs.
+    """
+    trees = found.where("status = 'tree'")
+    blocks = trees.where("n_descendants > 0").select(F.col("member_id").alias("ancestor_id"), "root_id", F.col("depth").alias("above"), F.expr("range_start + 1").alias("lo"), F.col("range_end").alias("hi"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, roots, above, width, block = [], [], [], [], []
+            for a, r, d, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+                while lo < hi:
+                    k = min((lo & -lo).bit_length() - 1 if lo else 62, (hi - lo).bit_length() - 1)
+                    ids.append(a)
+                    roots.append(r)
+                    above.append(d)
+                    width.append(k)
+                    block.append(lo >> k)
+                    lo += 1 << k
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(above, pa.int32()), pa.array(width, pa.int32()), pa.array(block, pa.int64())], names=["ancestor_id", "root_id", "above", "width", "block"])
+
+    blocks = blocks.mapInArrow(cut, "ancestor_id long, root_id long, above int, width int, block long")
+    tops = blocks.groupBy("root_id").agg(F.max("width").alias("top"))
+    points = trees.where("depth > 0").join(tops, "root_id").select("root_id", "member_id", "depth", "range_start", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("width"))
+    points = points.select("root_id", "member_id", "depth", "width", F.expr("shiftright(range_start, width)").alias("block"))
+    return points.join(blocks, ["root_id", "width", "block"]).select("ancestor_id", "member_id", (F.col("depth") - F.col("above")).alias("distance"))
+
+
 def member_hierarchy(members: DataFrame, modules: DataFrame) -> DataFrame:
     """``hierarchy`` of the current rows of ``members``, paths starting with the module's name."""
     nodes = written(with_parents(current_rows(members)).select("id", "parent", "name", "module_id"), "nodes")

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwright.operators import graph as G
+from spanwright.operators import hierarchy
 from spanwright.plans.catalogue import _DEPS, cur, module_dependencies, mods
 from spanwright.plans.registry import CUR, MODS, Registry
-from spanwright.runtime import table
+from spanwright.runtime import table, written
 
 query = Registry()
 
@@ -74,9 +75,19 @@ def degree_centrality(s, d):
     return deg.crossJoin(F.broadcast(n)).select("node", F.round(F.col("degree") / (F.col("n") - 1), 9).alias("centrality"))  # one row
 
 
-@query(f"WITH {_DEPS}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, 2 * count(*) AS direct FROM deps WHERE src <> dst GROUP BY 1, 2), c AS (SELECT p.a, p.b, count(*) AS n FROM p JOIN deps x ON x.src = p.a JOIN deps y ON y.src = p.b AND y.dst = x.dst GROUP BY 1, 2 UNION ALL SELECT p.a, p.b, count(*) FROM p JOIN deps x ON x.dst = p.a JOIN deps y ON y.dst = p.b AND y.src = x.src GROUP BY 1, 2) SELECT p.a, p.b, (p.direct + coalesce((SELECT sum(n) FROM c WHERE c.a = p.a AND c.b = p.b), 0))::BIGINT AS coupling FROM p")
+_COUPLING = f"{_DEPS}, e AS (SELECT * FROM deps WHERE src <> dst), s AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, 2 AS w FROM e UNION ALL SELECT x.src, y.src, 1 FROM e x JOIN e y ON x.dst = y.dst AND x.src < y.src UNION ALL SELECT x.dst, y.dst, 1 FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst), cp AS (SELECT a, b, sum(w)::BIGINT AS coupling FROM s GROUP BY 1, 2)"
+
+
+@query(f"WITH {_COUPLING} SELECT * FROM cp WHERE coupling >= 2")
 def coupling_pairs(s, d):
-    return G.coupling(module_dependencies(s, d))
+    """Pairs of modules, linked or not, whose coupling is two or more."""
+    return G.coupling(module_dependencies(s, d), 2)
+
+
+@query(f"WITH {_COUPLING} SELECT * FROM cp WHERE coupling >= 3 ORDER BY coupling DESC, a, b LIMIT 10")
+def highly_coupled_pairs(s, d):
+    """The ten pairs of the greatest coupling of three or more."""
+    return G.coupling(module_dependencies(s, d), 3).orderBy(F.desc("coupling"), "a", "b").limit(10)
 
 
 @query(f"WITH {_DEPS}, nb AS (SELECT src AS node, dst AS other FROM deps WHERE src <> dst UNION SELECT dst, src FROM deps WHERE src <> dst), k AS (SELECT node, count(*) AS k FROM nb GROUP BY 1), t AS (SELECT a.node, count(*) AS m FROM nb a JOIN nb b ON a.node = b.node JOIN deps e ON e.src = a.other AND e.dst = b.other AND e.src <> e.dst GROUP BY 1) SELECT k.node, k.k AS neighbours, CASE WHEN k.k > 1 THEN round(coalesce(t.m, 0) / (k.k * (k.k - 1)), 6) ELSE 0.0 END::DOUBLE AS coefficient FROM k LEFT JOIN t USING (node)")
@@ -84,15 +95,8 @@ def clustering_coeff(s, d):
     return G.clustering(module_dependencies(s, d))
 
 
-@query(f"WITH RECURSIVE {_DEPS}, b AS (SELECT min(src) AS node, 0 AS level FROM deps UNION SELECT e.dst, b.level + 1 FROM b JOIN deps e ON e.src = b.node WHERE b.level < 12) SELECT node, min(level) AS level FROM b WHERE node <> (SELECT min(src) FROM deps) GROUP BY 1")
-def bfs_levels(s, d):
-    """Distance in edges from the first module, up to twelve."""
-    e = module_dependencies(s, d)
-    return G.bfs(e, e.agg(F.min("src").alias("node")), 12).select("node", "level")
-
-
 @query(f"WITH RECURSIVE {_DEPS}, k AS (SELECT count(*) AS n FROM (SELECT src FROM deps UNION SELECT dst FROM deps)), b AS (SELECT min(src) AS node, 0 AS level FROM deps UNION SELECT e.dst, b.level + 1 FROM b JOIN deps e ON e.src = b.node JOIN k ON b.level < k.n) SELECT node, min(level) AS level FROM b WHERE node <> (SELECT min(src) FROM deps) GROUP BY 1")
-def bfs_levels_all(s, d):
+def bfs_levels(s, d):
     """Distance in edges from the first module of all modules in reach (no path needs more edges than there are modules)."""
     e = module_dependencies(s, d)
     return G.bfs(e, e.agg(F.min("src").alias("node"))).select("node", "level")
@@ -105,16 +109,8 @@ def reachability(s, d):
     return G.bfs(e, G.nodes_of(e)).groupBy("seed").agg(F.count("*").alias("n_reachable"))
 
 
-@query(f"WITH RECURSIVE {_DEPS}, seeds AS (SELECT dst AS node FROM deps GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10), r AS (SELECT node AS seed, node, 0 AS level FROM seeds UNION SELECT r.seed, e.src, r.level + 1 FROM r JOIN deps e ON e.dst = r.node WHERE r.level < 6) SELECT seed, count(DISTINCT node) AS n_affected FROM r WHERE node <> seed GROUP BY 1")
-def dependency_impact(s, d):
-    """Modules that a change of the ten most used ones reaches within six steps."""
-    e = module_dependencies(s, d)
-    top = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(10)
-    return G.bfs(e, top, 6, reverse=True).groupBy("seed").agg(F.count("*").alias("n_affected"))
-
-
 @query(f"WITH RECURSIVE {_DEPS}, k AS (SELECT count(*) AS n FROM (SELECT src FROM deps UNION SELECT dst FROM deps)), r AS (SELECT dst AS seed, src AS node FROM deps UNION SELECT r.seed, e.src FROM r JOIN deps e ON e.dst = r.node), top AS (SELECT seed, count(*) AS n_affected FROM r WHERE node <> seed GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10), b AS (SELECT seed, seed AS node, 0 AS level FROM top UNION SELECT b.seed, e.src, b.level + 1 FROM b JOIN deps e ON e.dst = b.node JOIN k ON b.level < k.n), m AS (SELECT seed, node, min(level) AS level FROM b GROUP BY 1, 2), x AS (SELECT seed, max(level) AS max_depth FROM m GROUP BY 1) SELECT seed AS node, n_affected, max_depth FROM top JOIN x USING (seed)")
-def dependency_impact_all(s, d):
+def dependency_impact(s, d):
     """The ten modules whose change reaches the most others at any distance, and how far it goes."""
     return G.impact(module_dependencies(s, d))
 
@@ -137,11 +133,17 @@ def simple_cycles_4(s, d):
     return G.simple_cycles(event_graph(s, d), 4).select(F.array_join("cycle", ">").alias("cycle"))
 
 
-@query(f"WITH RECURSIVE {_EV}, b AS (SELECT src AS a, dst AS b, 1 AS k FROM ev WHERE src <> dst UNION SELECT b.a, e.dst, b.k + 1 FROM b JOIN ev e ON e.src = b.b WHERE b.k < 10) SELECT a, b, min(k) + 1 AS n_nodes FROM b WHERE a <> b GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_EV}, b AS (SELECT src AS a, dst AS b, [src, dst] AS path FROM ev WHERE src <> dst UNION ALL SELECT b.a, e.dst, list_append(b.path, e.dst) FROM b JOIN ev e ON e.src = b.b WHERE NOT list_contains(b.path, e.dst) AND len(b.path) <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) AS rn FROM b) SELECT a, b, len(path)::INT AS n_nodes, array_to_string(path, '>') AS path FROM r WHERE rn = 1")
 def shortest_paths(s, d):
-    """Length, in nodes, of the shortest path between every two event types."""
+    """The shortest path of at most ten edges between every two event types, the first of equals, and its length in nodes."""
     e = event_graph(s, d)
-    return G.bfs(e, G.nodes_of(e), 10).select(F.col("seed").alias("a"), F.col("node").alias("b"), (F.col("level") + 1).alias("n_nodes"))
+    found = G.shortest_paths(e, G.nodes_of(e), 10)
+    return found.select(F.col("seed").alias("a"), F.col("node").alias("b"), F.size("path").alias("n_nodes"), F.array_join("path", ">").alias("path"))
+
+
+@query(f"WITH RECURSIVE {_EV}, b AS (SELECT src AS a, dst AS b, 1 AS k FROM ev WHERE src <> dst UNION SELECT b.a, e.dst, b.k + 1 FROM b JOIN ev e ON e.src = b.b WHERE b.k < 10), m AS (SELECT a, b, min(k) + 1 AS n FROM b WHERE a <> b GROUP BY 1, 2) SELECT count(*) AS connected_pairs, coalesce(round(avg(n), 6), 0.0)::DOUBLE AS average_nodes, coalesce(max(n), 0)::INT AS diameter_nodes FROM m")
+def path_metrics(s, d):
+    return G.path_metrics(event_graph(s, d))
 
 
 @query(f"WITH {_EV} SELECT src AS node FROM ev WHERE src = dst")
@@ -174,27 +176,15 @@ def terminal_nodes(s, d):
 
 @query(f"WITH RECURSIVE {_TREE}, a AS (SELECT dst AS node, src AS anc FROM tree UNION SELECT a.node, t.src FROM a JOIN tree t ON t.dst = a.anc) SELECT node, count(*) AS n_ancestors FROM a WHERE node <> anc GROUP BY 1")
 def ancestors(s, d):
-    """Distinct ancestors of every member that has any."""
-    e = containment(s, d)
-    return G.bfs(e, e.select(F.col("dst").alias("node")).distinct(), 500, reverse=True).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("n_ancestors"))
-
-
-@query(f"WITH {_TREE} SELECT t.src AS node, count(*) AS n_children FROM tree t WHERE t.src NOT IN (SELECT dst FROM tree) GROUP BY 1")
-def mixins(s, d):
-    """Nodes without parents that have children."""
-    e = containment(s, d)
-    return e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_children")).join(e.select(F.col("dst").alias("node")), "node", "left_anti")
-
-
-@query(f"WITH {_NA}, p AS (SELECT a.dst AS node, a.src AS p1, b.src AS p2 FROM na a JOIN na b ON a.dst = b.dst AND a.src < b.src), x AS (SELECT p.node, g.src AS top FROM p JOIN na g ON g.dst = p.p1 JOIN na h ON h.dst = p.p2 AND h.src = g.src WHERE g.src NOT IN (p.node, p.p1, p.p2)) SELECT node, min(top) AS common FROM x GROUP BY 1")
-def diamonds(s, d):
-    """Nations that two others both lead to, which share a predecessor: the least such predecessor (25 nations at most)."""
-    e = nation_graph(s, d)
-    a, b = e.select(F.col("dst").alias("node"), F.col("src").alias("p1")), e.select(F.col("dst").alias("node"), F.col("src").alias("p2"))
-    pair = a.join(b, "node").where("p1 < p2")
-    g = e.select(F.col("dst").alias("p1"), F.col("src").alias("top"))
-    h = e.select(F.col("dst").alias("p2"), F.col("src").alias("top"))
-    return pair.join(g, "p1").join(h, ["p2", "top"]).where("top not in (node, p1, p2)").groupBy("node").agg(F.min("top").alias("common"))
+    """Distinct ancestors of every member that has any: its depth in a tree; what runs into a cycle, some few, is walked."""
+    c = cur(s, d, "parent_id", "name", "module_id")
+    known = c.select(F.col("id").alias("parent"))
+    nodes = c.join(c.where("parent_id <> id").select("id", F.col("parent_id").alias("parent")).join(known, "parent", "left_semi"), "id", "left").select("id", "parent", "name", "module_id")
+    found = hierarchy.hierarchy(written(nodes, "nodes"), mods(s, d, "name").select(F.col("id").alias("module_id"), F.col("name").alias("top")))
+    trees = found.where("status = 'tree' and depth > 0").select(F.col("member_id").alias("node"), F.col("depth").cast("long").alias("n_ancestors"))
+    loops = written(found.where("status <> 'tree'").select(F.col("member_id").alias("node")), "loops")
+    links = containment(s, d).join(loops.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    return trees.unionByName(G.bfs(links, loops, reverse=True).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("n_ancestors")))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -215,7 +205,13 @@ def connected_components(s, d):
     return G.components(containment(s, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {_TREE}, {MODS}, u AS (SELECT src AS a, dst AS b FROM tree UNION SELECT dst, src FROM tree), n0 AS (SELECT DISTINCT a AS node, a AS label FROM u), " + ", ".join(f"v{i} AS (SELECT node, label, count(*) AS n FROM (SELECT u.a AS node, l.label FROM u JOIN n{i} l ON l.node = u.b UNION ALL SELECT node, label FROM n{i}) GROUP BY 1, 2), n{i + 1} AS MATERIALIZED (SELECT node, arg_min(label, (-n, label)) AS label FROM v{i} GROUP BY 1)" for i in range(5)) + " SELECT label AS community, count(*) AS n FROM n5 GROUP BY 1 HAVING count(*) >= 2")
+def member_communities(s, d):
+    """Communities among contained members after five rounds of label propagation."""
+    return G.communities(containment(s, d), 5).groupBy("community").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {_DEPS}, r AS (SELECT src AS a, dst AS b FROM deps UNION SELECT r.a, e.dst FROM r JOIN deps e ON e.src = r.b), bad AS (SELECT DISTINCT b AS node FROM r WHERE a IN (SELECT a FROM r WHERE a = b)), n AS (SELECT src AS node FROM deps UNION SELECT dst FROM deps), ok AS (SELECT * FROM deps WHERE dst NOT IN (SELECT node FROM bad)), lv AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT dst FROM deps) UNION SELECT e.dst, lv.level + 1 FROM lv JOIN ok e ON e.src = lv.node) SELECT node, max(level)::INT AS level FROM lv GROUP BY 1 UNION ALL SELECT node, -1 FROM bad")
 def topological_order(s, d):
     """Kahn's levels of the module dependencies; modules on or behind cycles get -1."""
     return G.topological_levels(module_dependencies(s, d))
@@ -233,18 +229,18 @@ def relationship_counts(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {CUR}, p AS (SELECT primary_api_name AS name, min(fully_qualified_name) AS target FROM cur WHERE primary_api_name <> fully_qualified_name GROUP BY 1), w AS (SELECT name, target, 1 AS k FROM p UNION ALL SELECT w.name, p.target, w.k + 1 FROM w JOIN p ON p.name = w.target WHERE w.k < 200), l AS (SELECT name, max(k) AS k, arg_max(target, k) AS target FROM w GROUP BY 1) SELECT name, CASE WHEN k < 200 THEN target END AS target, k >= 200 AS broken FROM l")
 def resolved_pointers(s, d):
     """Follow each export's name to the member it stands for, through re-exports of the same name."""
     c = cur(s, d, "fully_qualified_name", "primary_api_name")
     return G.pointer_targets(c.where("primary_api_name <> fully_qualified_name").select(F.col("primary_api_name").alias("name"), F.col("fully_qualified_name").alias("target")))
 
 
-@query(f"WITH RECURSIVE {_EV}, p AS (SELECT [src, dst] AS path FROM ev WHERE src <> dst UNION ALL SELECT list_append(p.path, e.dst) FROM p JOIN ev e ON e.src = p.path[-1] WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 6) SELECT max(len(path)) AS n_nodes, min(array_to_string(path, '>')) FILTER (WHERE len(path) = (SELECT max(len(path)) FROM p)) AS path FROM p")
+@query(f"WITH RECURSIVE {_EV}, p AS (SELECT [src, dst] AS path FROM ev WHERE src <> dst UNION ALL SELECT list_append(p.path, e.dst) FROM p JOIN ev e ON e.src = p.path[-1] WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 20) SELECT max(len(path)) AS n_nodes, min(array_to_string(path, '>')) FILTER (WHERE len(path) = (SELECT max(len(path)) FROM p)) AS path FROM p")
 def longest_chain(s, d):
-    """The longest simple path of up to six nodes; ties go to the first in order."""
+    """The longest simple path of up to twenty nodes; ties go to the first in order."""
     e = event_graph(s, d)
-    paths = G.simple_paths(e, G.nodes_of(e), 5)
+    paths = G.simple_paths(e, G.nodes_of(e), 19)
     best = F.min(F.struct((-F.size("path")).alias("k"), F.array_join("path", ">").alias("path")))
     return paths.agg(best.alias("b")).select((-F.col("b.k")).alias("n_nodes"), "b.path")
 

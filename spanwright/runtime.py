@@ -46,10 +46,13 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made.
+    Where that is unset a temporary folder is made if driver and executors are one
+    machine (tests, a laptop); on a cluster that would lose rows, so it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spanwright-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -69,6 +72,13 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def written_view(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a table made by ``written``, which ``discard`` can still delete."""
+    out = df.select(*columns)
+    out._spanwright_path = df._spanwright_path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing will read again."""
     for df in tables:

@@ -29,11 +29,11 @@ def debounced_stream(spark: SparkSession, folder: str, schema, quiet: str, delay
     return debounced(events, quiet)
 
 
-def invalidated(changed: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def invalidated(changed: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): what a change of some nodes makes stale: they and all that depend on them (edges src -> dst: src depends on dst)."""
     from spanwright.operators.graph import bfs
 
-    return changed.select("node").union(bfs(edges, changed, max_depth, reverse=True).select("node")).distinct()
+    return changed.select("node").union(bfs(edges, changed, reverse=True).select("node")).distinct()
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, key: str = "path", when: str = "ts") -> DataFrame:

@@ -49,7 +49,68 @@ def test_topological_levels_mark_cycles(calls):
 def test_pointers(spark):
     p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), (None, "q"), ("r", None)], "name string, target string")
     got = {r.name: (r.target, r.broken) for r in G.pointer_targets(p).collect()}
-    assert got["a"] == got["b"] == got["c"] == ("d", False) and got["x"][1] and got["y"][1] and "r" not in got
+    assert got["a"] == got["b"] == got["c"] == ("d", False) and got["x"] == got["y"] == (None, True) and "r" not in got
+
+
+def brute(edges):
+    out, into = {}, {}
+    for a, b in edges:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            into.setdefault(b, set()).add(a)
+    return out, into
+
+
+def test_coupling_and_clustering_on_random_graphs_with_a_hub(spark):
+    pick = random.Random(4)
+    edges = sorted({(pick.randrange(30), pick.randrange(30)) for _ in range(90)} | {(i, 0) for i in range(1, 25)} | {(0, 1), (0, 2)})
+    out, into = brute(edges)
+    nodes = sorted({x for e in edges for x in e})
+    for least in (1, 2, 3):
+        want = {}
+        for i, a in enumerate(nodes):
+            for b in nodes[i + 1 :]:
+                score = 2 * ((b in out.get(a, ())) + (a in out.get(b, ()))) + len(out.get(a, set()) & out.get(b, set())) + len(into.get(a, set()) & into.get(b, set()))
+                if score >= least:
+                    want[a, b] = score
+        got = {(r.a, r.b): r.coupling for r in G.coupling(spark.createDataFrame(edges, "src int, dst int"), least).collect()}
+        assert got == want
+    for r in G.clustering(spark.createDataFrame(edges, "src int, dst int")).collect():
+        near = out.get(r.node, set()) | into.get(r.node, set())
+        inside = sum(b in out.get(a, ()) for a in near for b in near)
+        assert r.neighbours == len(near) and r.coefficient == pytest.approx(inside / (len(near) * (len(near) - 1)) if len(near) > 1 else 0.0, abs=1e-6)
+
+
+def test_long_chains_are_walked_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "src int, dst int")
+    assert G.bfs(chain, spark.createDataFrame([(0,)], "node int")).count() == 70
+    assert {r.level for r in G.topological_levels(chain).collect()} == set(range(71))
+    assert {r.component for r in G.components(chain).collect()} == {0}
+    names = spark.createDataFrame([(str(i), str(i + 1)) for i in range(70)], "name string, target string")
+    assert {(r.target, r.broken) for r in G.pointer_targets(names).collect()} == {("70", False)}
+
+
+def test_components_of_random_graphs(spark):
+    pick = random.Random(7)
+    edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(220)]
+    least = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    assert {r.node: r.component for r in G.components(spark.createDataFrame(edges, "src int, dst int")).collect()} == least
+
+
+def test_shortest_paths_and_communities(spark, calls):
+    one = spark.createDataFrame([("entry1",)], "node string")
+    got = {r.node: r.path for r in G.shortest_paths(calls, one).collect()}
+    assert got["terminal1"] == ["entry1", "a", "b", "d", "terminal1"] and "e" not in got
+    assert {r.community for r in G.communities(calls).where("node in ('e', 'f')").collect()} == {"e"}
+    depth = {r.node: r.depth for r in G.longest_depths(spark.createDataFrame(CLASSES, "src string, dst string")).collect()}
+    assert depth["A"] == 0 and depth["D"] == 2 and depth["E"] == 3 and depth["Z"] == 2
 
 
 def test_empty_graph(spark):

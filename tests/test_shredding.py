@@ -1,6 +1,6 @@
 import json
 
-from spanwright.operators.shredding import decoded, level_report, shred_results, shred_signatures, stripe, COMPONENT
+from spanwright.operators.shredding import COMPONENT, decoded, entity_table, level_report, shred_results, shred_signatures, shred_tables, stripe
 
 RESULTS = "result_id long, module_name string, module_interface string, components string, export_records string, id long, entity string"
 
@@ -30,7 +30,33 @@ def test_shapes_and_unreadable_cells(spark):
     }
     assert got == {(1, *w) for w in want}
     assert shred_results(spark.createDataFrame([], RESULTS)).count() == 0
-    assert level_report(spark.createDataFrame(data, RESULTS)).where("group_path = 'components' and leaf = 'name'").first().n_real == 4
+    assert level_report(spark.createDataFrame(data, RESULTS)).where("group_path = 'components' and leaf = 'name'").first().n_real == 2
+
+
+def test_tables_carry_every_leaf(spark):
+    comp = {"m.A": {"name": "A", "fully_qualified_name": "m.A", "line_number": 7, "API_names": ["A", "m.A"], "signature": {"full": "A(x)"}, "parameters": [{"name": "x", "type": "int"}, {"name": "y", "default": "0"}], "odd": {"deep": [[1]]}}}
+    exports = {"records": [{"exported_name": "A", "metadata": {"line": 3}, "wildcard_sources": ["p", "q"]}, {"target_item_fqn": "m.B"}]}
+    interface = {"has_all": True, "all_values": ["A"], "imports": [{"raw_module_specifier": "p", "level": 1}, {"raw_module_specifier": "q"}]}
+    row = (1, "m", json.dumps(interface), json.dumps(comp), json.dumps(exports), 5, "e")
+    found = shred_tables(spark.createDataFrame([row, row, (2, "n", "{", None, "", 5, "e")], RESULTS))
+    got = {(r.group_path, r.entry): (r.entity, r.parent_entry, r.item_key, dict(r.leaf_values)) for r in found.collect()}
+    assert got["components", 0] == ("component", None, "m.A", {"(key)": "m.A", "name": "A", "fully_qualified_name": "m.A", "line_number": "7"})
+    assert got["components.parameters", 1] == ("parameter", 0, "m.A:y", {"name": "y", "default": "0"})
+    assert got["components.signature", 0] == ("signature", 0, "m.A:full", {"(key)": "full", "=": "A(x)"})
+    assert [got["components.API_names", i][3]["(key)"] for i in (0, 1)] == ["A", "m.A"] and got["components.odd", 0][1] == 0
+    assert got["export_records", 1][3] == {"target_item_fqn": "m.B"} and got["export_records.metadata", 0][3] == {"line": "3"} and got["export_records.wildcard_sources", 1][1] == 0
+    assert got["module_interface.imports", 0][3] == {"raw_module_specifier": "p", "level": "1"} and got["module_interface.all_values", 0][2] == "A"
+    assert {r.record_id for r in found.collect()} == {1}
+    assert entity_table(found, "imports", level="int").where("level = 1").count() == 1
+
+
+def test_deep_nesting_is_unreadable_or_whole(spark):
+    def deep(k):
+        return "[" + '{"name": "a", "nested_classes": [' * k + "]}" * k + "]"
+
+    data = [(1, "m", None, deep(900), None, None, None), (2, "m", None, deep(60_000), None, None, None), (3, "m", "[" * 100_000, None, None, None, None)]
+    got = shred_results(spark.createDataFrame(data, RESULTS)).groupBy("record_id").count().collect()
+    assert got[0].record_id == 1 and got[0]["count"] == 900 and len(got) <= 2
 
 
 def test_levels_rebuild_parents():
