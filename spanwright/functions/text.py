@@ -101,6 +101,43 @@ def strip_links(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(coalesce_text(c), r"\[([^\]]+)\]\([^)]+\)", "$1"), r"https?://\S+", "")
 
 
+# fixed values: punctuation as plain signs, prefixes that keep their hyphen, what placeholders look like
+PLAIN = {"\u2022": "-", "\u2023": "-", "\u25e6": "-", "\u2043": "-", "\u2219": "-", "\u00b7": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u00a0": " ", "\u202f": " ", "\u2009": " "}
+KEEP_HYPHEN = "non|self|multi|inter|intra|anti|pre|post|sub|re|co|un|well|high|low|cross|meta|semi|pseudo"
+LINK_TARGET = r"\((https?://[^)\s]+|#page=\d+)\)"
+
+
+def with_placeholders(c: str | Column) -> Column:
+    """struct<text, urls>: links in brackets and page references replaced by ``url_placeholder_k`` in their order, urls[k] being what stood there."""
+    t = coalesce_text(c)
+    urls = F.regexp_extract_all(t, F.lit(LINK_TARGET), 1)
+    pieces = F.split(t, LINK_TARGET)
+    body = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("(url_placeholder_"), (i - 1).cast("string"), F.lit(")"), p))), "")
+    return F.struct(body.alias("text"), urls.alias("urls"))
+
+
+def restored(text: Column, urls: Column) -> Column:
+    """The text with its placeholders as addresses again, the longest placeholders first, so that _1 never hits _10; unknown ones stay."""
+    order = F.reverse(F.sequence(F.lit(0), F.greatest(F.size(urls) - 1, F.lit(0))))
+    return F.when(F.size(urls) > 0, F.aggregate(order, text, lambda acc, k: F.replace(acc, F.concat(F.lit("url_placeholder_"), k.cast("string")), F.element_at(urls, k + 1)))).otherwise(text)
+
+
+def plain_typography(c: str | Column) -> Column:
+    """Bullets, dashes, quotes and special spaces as plain signs, an ellipsis as three stops."""
+    return F.replace(F.translate(coalesce_text(c), "".join(PLAIN), "".join(PLAIN.values())), F.lit("\u2026"), F.lit("..."))
+
+
+def joined_words(c: str | Column) -> Column:
+    """Words wrapped at a hyphen joined; after prefixes that keep theirs the hyphen stays."""
+    t = F.regexp_replace(coalesce_text(c), rf"(?i)\b({KEEP_HYPHEN})-\n[ \t]*(\w)", "$1-$2")
+    return F.regexp_replace(t, r"(\w+)-\n[ \t]*(\w)", "$1$2")
+
+
+def squeezed_blank_lines(c: str | Column, most: int = 2) -> Column:
+    """At most so many blank lines in a row."""
+    return F.regexp_replace(coalesce_text(c), r"((?:^|\n)(?:[ \t]*\n){%d})(?:[ \t]*\n)+" % most, "$1")
+
+
 IDENTIFIER = r"([A-Za-z_][A-Za-z0-9_]*(?:[.][A-Za-z_][A-Za-z0-9_]*)*)"
 
 
@@ -133,7 +170,10 @@ def defaults_match(a: str | Column, b: str | Column) -> Column:
 
 
 def failure_cause(name: str | Column) -> Column:
-    """A guess why a name was not found: private, dunder, test or none of them."""
+    """A guess why a name was not found."""
     n = coalesce_text(name)
     p = F.split(n, "[.]")
-    return F.when(F.exists(p, lambda x: x.rlike("^__.*__$")), "dunder").when(F.exists(p, lambda x: x.startswith("_")), "private").when(F.exists(p, lambda x: x.rlike("(?i)^tests?$")), "test").otherwise("unknown")
+    last = F.element_at(p, -1)
+    any_of = lambda *xs: F.exists(p, lambda x: x.isin(*xs))
+    constant = ((F.upper(last) == last) & last.rlike(r"\p{Lu}")) | last.startswith("TYPE_")
+    return F.when(n.startswith("_"), "private_api").when(F.exists(p, lambda x: x.startswith("_")), "internal_module").when(any_of("test", "tests", "testing"), "test_code").when(any_of("example", "examples", "demo"), "example_code").when(constant, "type_alias_or_constant").otherwise("unknown")

@@ -42,14 +42,13 @@ def _over(old: Column, new: Column) -> Column:
 
 
 def _last(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """The last ``value`` per key, with the attributes of its rows folded in order.
+    """The last ``value`` per key, the attributes of the new rows (order 1) laid over those of the old ones (order 0).
 
-    Of rows of one batch the greatest counts, so a key that half of all rows bear is
-    one row per batch before anything is collected (batches are few: ends, old, new).
+    Of several rows of a batch the greatest counts, so a key that half of all rows bear is one partial aggregate.
     """
-    df = df.groupBy(*keys, order).agg(F.max(value).alias(value), F.max_by("attrs", F.to_json("attrs")).alias("attrs"))
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct(order, "attrs"))), F.create_map().cast(_MAP), lambda acc, x: _over(acc, x["attrs"]))
-    return df.groupBy(*keys).agg(F.max_by(value, F.struct(order, value)).alias(value), folded.alias("attrs"))
+    part = lambda k: F.max_by("attrs", F.when(F.col(order) == k, F.to_json("attrs"))).alias(f"a{k}")
+    g = df.groupBy(*keys).agg(F.max_by(value, F.struct(order, value)).alias(value), part(0), part(1))
+    return g.select(*keys, value, _over(F.col("a0"), F.col("a1")).alias("attrs"))
 
 
 def _where(df: DataFrame, **equal: str | Column | None) -> DataFrame:

@@ -18,19 +18,6 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def line_score(line: str | Column) -> Column:
-    """Additive score of a line as a definition: bullets and prompts down, signatures and headings up."""
-    t = F.trim(col(line))
-    return (
-        F.when(t.rlike(r"^([-*+]|[0-9]+\.) "), -30).otherwise(0)
-        + F.when(t.rlike(r"^(>>>|\.\.\.)"), -25).otherwise(0)
-        + F.when(t.rlike(r"^(class|def|property|async def) "), 20).otherwise(0)
-        + F.when(t.rlike(r"^#+ "), 15).otherwise(0)
-        + F.when(t.rlike(r"[A-Za-z_]\w*\("), 10).otherwise(0)
-        + F.when(t.rlike(r"[.!?]$"), -5).otherwise(0)
-    )
-
-
 def needle_hits(docs: DataFrame, needles: DataFrame) -> DataFrame:
     """(doc_id, needle, n): documents that hold a needle as a whole word, and how often.
 
@@ -41,35 +28,34 @@ def needle_hits(docs: DataFrame, needles: DataFrame) -> DataFrame:
     return words.join(needles.select("needle").distinct(), "needle", "left_semi").groupBy("doc_id", "needle").agg(F.count("*").alias("n"))
 
 
-def windows(docs: DataFrame, size: int = 3000, stride: int = 2000) -> DataFrame:
-    """(doc_id, window_no, start_char, text): overlapping windows; the last one ends with the text."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(stride))
-    each = docs.where("text <> ''").select("doc_id", "text", F.posexplode(starts).alias("window_no", "start_char"))
-    return each.select("doc_id", "window_no", "start_char", F.substring("text", F.col("start_char") + 1, F.lit(size)).alias("text"))
-
-
 def density(docs: DataFrame, needle: str) -> DataFrame:
     """(doc_id, hits, per_1000): occurrences of a literal per thousand characters."""
     n = occurrences("text", F.lit(needle))
     return docs.select("doc_id", n.alias("hits"), F.coalesce(F.round(F.try_divide(n * 1000.0, F.length("text")), 6), F.lit(0.0)).alias("per_1000"))
 
 
+def query_blocks(queries: DataFrame, size: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of a stated query set in blocks of ``size``, in order of their ids; a block is what a task is sent.
+
+    The ids come over once; each block is then read by its range of ids.
+    """
+    ids = [r[0] for r in queries.select("vec_id").where("vec_id is not null").distinct().orderBy("vec_id").toLocalIterator()]
+    for at in range(0, max(1, len(ids)), size):
+        part = ids[at : at + size]
+        rows = queries.where(F.col("vec_id").between(part[0], part[-1]) & F.col("embedding").isNotNull()).select("vec_id", "embedding").dropDuplicates(["vec_id"]).orderBy("vec_id").collect() if part else []  # at most ``size``
+        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+        norm = np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
+        yield np.array([r[0] for r in rows], np.int64), np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): exact k nearest by cosine of a stated query set against all vectors.
 
-    The query set is sent to all tasks in blocks of at most 500 vectors; each task
-    keeps the k best of its rows per query before anything is shuffled.
+    The query set is sent to all tasks in blocks; each task keeps the k best of its
+    rows per query before anything is shuffled.  Vectors without an id or values take no part.
     """
-    wanted = queries.select("vec_id", "embedding").orderBy("vec_id")
-    total = wanted.count()
     out = None
-    numbered = wanted.withColumn("n", F.row_number().over(W.orderBy("vec_id")) - 1) if total > 500 else None
-    for block in range(max(1, -(-total // 500))):
-        rows = (numbered.where(F.col("n").between(block * 500, block * 500 + 499)).drop("n") if numbered is not None else wanted).collect()  # at most 500
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
-        norm = np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
-        unit = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
+    for ids, unit in query_blocks(queries):
 
         def best(frames: Iterator[pd.DataFrame], ids=ids, unit=unit) -> Iterator[pd.DataFrame]:
             scores = np.full((len(ids), 0), -np.inf)
@@ -89,7 +75,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             rows = np.broadcast_to(ids[:, None], scores.shape)
             yield pd.DataFrame({"query_id": rows[kept], "vec_id": found[kept], "score": scores[kept]})
 
-        part = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
+        part = vectors.where("embedding is not null and vec_id is not null").select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -154,6 +154,13 @@ def inherited_documentation(s, d):
     return inh(s, d, "original_member_id", "doc_description").join(c, "original_member_id", "left").select("id", "original_member_id", "original", F.when(F.col("hit"), "original").otherwise("stored").alias("doc_source"), F.when(F.col("hit"), F.col("docstring")).otherwise(F.col("doc_description")).alias("doc"))
 
 
+def wanted_names(s: SparkSession, d: str) -> DataFrame:
+    """(name): what scraped pages are about, and what inherited members are called."""
+    i = inh(s, d, "original_fqn", "inherited_api_name")
+    names = table(s, d, "scraped_docs").select(F.col("member_fqn").alias("name")).union(i.select("original_fqn")).union(i.select("inherited_api_name"))
+    return names.where("name is not null").distinct()
+
+
 _NAMES = "n AS (SELECT primary_api_name AS name, id, 0 AS tier FROM cur WHERE primary_api_name IS NOT NULL UNION ALL SELECT unnest(all_api_names), id, 1 FROM cur UNION ALL SELECT inherited_api_name, id, 2 FROM inh WHERE inherited_api_name IS NOT NULL UNION ALL SELECT unnest(inherited_api_names), id, 2 FROM inh UNION ALL SELECT fully_qualified_name, id, 3 FROM cur WHERE fully_qualified_name IS NOT NULL), best AS (SELECT name, min(tier) AS tier, arg_min(id, tier * 1000000000000 + id) AS id FROM n WHERE name IS NOT NULL GROUP BY name)"
 
 
@@ -161,17 +168,17 @@ def _all_names(s, d):
     return C.own_names(cur(s, d, "primary_api_name", "all_api_names", "fully_qualified_name")).unionByName(C.inherited_names(inh(s, d, "inherited_api_name", "inherited_api_names"))).where("name is not null")
 
 
-@query(f"WITH {CUR}, {INH}, {_NAMES}, w AS (SELECT DISTINCT member_fqn AS name FROM scraped_docs WHERE member_fqn IS NOT NULL) SELECT w.name, tier, id, coalesce(CASE tier WHEN 0 THEN 'primary' WHEN 1 THEN 'candidate' WHEN 2 THEN 'inherited' WHEN 3 THEN 'fqn' END, 'not_found') AS match_type FROM w LEFT JOIN best USING (name)")
+@query(f"WITH {CUR}, {INH}, {_NAMES}, w AS (SELECT DISTINCT name FROM (SELECT member_fqn AS name FROM scraped_docs UNION ALL SELECT original_fqn FROM inh UNION ALL SELECT inherited_api_name FROM inh) WHERE name IS NOT NULL) SELECT w.name, tier, id, coalesce(CASE tier WHEN 0 THEN 'primary' WHEN 1 THEN 'candidate' WHEN 2 THEN 'inherited' WHEN 3 THEN 'fqn' END, 'not_found') AS match_type FROM w LEFT JOIN best USING (name)")
 def resolve_page_names(s, d):
-    """Tiered resolution of every name that a scraped page is about."""
-    wanted = table(s, d, "scraped_docs").where("member_fqn is not null").select(F.col("member_fqn").alias("name")).distinct()
+    """Tiered resolution of the names of pages and of inherited members."""
+    wanted = wanted_names(s, d)
     kinds = F.coalesce(F.element_at(F.create_map(*[x for k, v in enumerate(("primary", "candidate", "inherited", "fqn")) for x in (F.lit(k), F.lit(v))]), F.col("tier")), F.lit("not_found"))
     return C.resolve(wanted, _all_names(s, d)).select("name", "tier", "id", kinds.alias("match_type"))
 
 
-@query(f"WITH {CUR}, {INH}, {_NAMES}, w AS (SELECT DISTINCT member_fqn AS name FROM scraped_docs WHERE member_fqn IS NOT NULL) SELECT coalesce(tier, 9) AS tier, count(*) AS n FROM w LEFT JOIN best USING (name) GROUP BY 1")
+@query(f"WITH {CUR}, {INH}, {_NAMES}, w AS (SELECT DISTINCT name FROM (SELECT member_fqn AS name FROM scraped_docs UNION ALL SELECT original_fqn FROM inh UNION ALL SELECT inherited_api_name FROM inh) WHERE name IS NOT NULL) SELECT coalesce(tier, 9) AS tier, count(*) AS n FROM w LEFT JOIN best USING (name) GROUP BY 1")
 def match_type_breakdown(s, d):
-    wanted = table(s, d, "scraped_docs").where("member_fqn is not null").select(F.col("member_fqn").alias("name")).distinct()
+    wanted = wanted_names(s, d)
     return C.resolve(wanted, _all_names(s, d)).groupBy(F.coalesce("tier", F.lit(9)).alias("tier")).agg(F.count("*").alias("n"))
 
 
@@ -246,14 +253,6 @@ def db_stats(s, d):
     )
 
 
-@query(f"WITH {MODS}, {EXPS}, {CUR}, e AS (SELECT exporter_module_id AS id, count(*) AS n, count_if(is_reexport) AS r FROM exps GROUP BY 1), c AS (SELECT module_id AS id, count(*) AS n, count_if({DOC}) AS documented FROM cur GROUP BY 1) SELECT m.id, m.name AS module, len(string_split(m.name, '.')) AS depth, coalesce(e.n, 0) AS n_exports, coalesce(round(e.r / e.n, 6), 0.0) AS reexport_ratio, coalesce(round(c.documented / c.n, 6), 0.0) AS doc_ratio FROM mods m LEFT JOIN e ON e.id = m.id LEFT JOIN c ON c.id = m.id")
-def module_statistics(s, d):
-    e = exps(s, d, "exporter_module_id", "is_reexport").groupBy(F.col("exporter_module_id").alias("id")).agg(F.count("*").alias("n"), F.count_if("is_reexport").alias("r"))
-    c = cur(s, d, "module_id", "docstring").groupBy(F.col("module_id").alias("id")).agg(F.count("*").alias("cn"), F.count_if(is_present("docstring")).alias("cd"))
-    z = F.lit(0.0)
-    return mods(s, d, "name").join(e, "id", "left").join(c, "id", "left").select("id", F.col("name").alias("module"), segments("name").cast("long").alias("depth"), F.coalesce("n", F.lit(0).cast("long")).alias("n_exports"), F.coalesce(F.round(F.col("r") / F.col("n"), 6), z).alias("reexport_ratio"), F.coalesce(F.round(F.col("cd") / F.col("cn"), 6), z).alias("doc_ratio"))
-
-
 @query(f"WITH {CUR}, k AS (SELECT id, name, fully_qualified_name AS fqn, row_number() OVER (PARTITION BY name ORDER BY len(string_split(fully_qualified_name, '.')), length(fully_qualified_name), fully_qualified_name) AS rn FROM cur WHERE name IS NOT NULL) SELECT id, name, rn = 1 AS kept FROM k")
 def dedup_keep_shortest(s, d):
     """Per name the member with the fewest segments, shortest and first full name is kept, the others are flagged."""
@@ -289,25 +288,6 @@ def scope_intervals(s, d):
     return c.select("id", F.col("source_start_line").alias("scope_start"), F.coalesce(after - 1, F.col("source_end_line")).alias("scope_end"))
 
 
-@query(f"WITH {CUR}, {MODS}, c AS (SELECT id, module_id, primary_api_name FROM cur), f AS (SELECT m.id, m.name, count(c.id) AS n, count(c.primary_api_name) AS p FROM mods m LEFT JOIN c ON c.module_id = m.id GROUP BY 1, 2) SELECT id, name AS module, round(500 * (len(string_split(name, '.')) = 1)::INT - 10 * len(string_split(name, '.')) + 40 * (p > 0)::INT - 200 * (regexp_matches(name, '(^|\\.)_'))::INT + least(3.0, CASE WHEN n > 0 THEN 3.0 * p / n ELSE 0.0 END), 6)::DOUBLE AS score FROM f")
-def module_boundary_scores(s, d):
-    """How well a module serves as the public home of its members."""
-    c = cur(s, d, "module_id", "primary_api_name").groupBy(F.col("module_id").alias("id")).agg(F.count("*").alias("n"), F.count("primary_api_name").alias("p"))
-    m = mods(s, d, "name").join(c, "id", "left").fillna(0, ["n", "p"])
-    k = segments("name")
-    share = F.when(F.col("n") > 0, 3.0 * F.col("p") / F.col("n")).otherwise(F.lit(0.0))
-    score = 500 * (k == 1).cast("int") - 10 * k + 40 * (F.col("p") > 0).cast("int") - 200 * F.col("name").rlike(r"(^|\.)_").cast("int") + F.least(F.lit(3.0), share)
-    return m.select("id", F.col("name").alias("module"), F.round(score.cast("double"), 6).alias("score"))
-
-
-@query(f"WITH {EXPS}, {MODS}, x AS (SELECT DISTINCT e.target_member_id AS id, m.name AS module FROM exps e JOIN mods m ON m.id = e.exporter_module_id WHERE e.target_member_id IS NOT NULL) SELECT id, arg_max(module, (-len(string_split(module, '.')), -length(module), module)) AS module FROM x GROUP BY 1")
-def target_module_argmax(s, d):
-    """The exporting module with the fewest segments and the shortest name for each member (ties: the last name)."""
-    m = mods(s, d, "name").withColumnRenamed("id", "exporter_module_id")
-    e = exps(s, d, "exporter_module_id", "target_member_id").where("target_member_id is not null").join(m, "exporter_module_id")
-    return e.groupBy(F.col("target_member_id").alias("id")).agg(F.max_by("name", F.struct(-segments("name"), -F.length("name"), F.col("name"))).alias("module"))
-
-
 @query(f"WITH {CUR}, {EXPS}, {MODS}, a AS (SELECT c.id, m.name || '.' || e.exported_name AS api FROM exps e JOIN cur c ON c.id = e.target_member_id JOIN mods m ON m.id = e.exporter_module_id WHERE e.exported_name IS NOT NULL UNION SELECT id, fully_qualified_name FROM cur) SELECT id, arg_min(api, (len(string_split(api, '.')), api)) AS primary_api, count(*) AS n_candidates FROM a GROUP BY 1")
 def derived_api_names(s, d):
     """Public names by direct look-up: exporter.name for every export, the full name always; the primary has the fewest segments."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanwright.functions import text as X
 from spanwright.functions.columns import jaccard, type_tokens
 from spanwright.operators import fidelity, graph, sections
-from spanwright.operators import quality as Q
+from spanwright.operators.evaluation import default_hint
 from spanwright.plans.catalogue import _DEPS, cur, inh, module_dependencies
 from spanwright.plans.registry import CUR, INH, Registry
 from spanwright.runtime import table
@@ -25,11 +25,6 @@ def normalized_signatures(s, d):
     return inh(s, d, "signature").select("id", X.normalize_signature("signature").alias("norm"))
 
 
-@query(f"WITH {CUR} SELECT id, CASE WHEN len(list_filter(string_split(coalesce(fully_qualified_name, ''), '.'), lambda x: regexp_matches(x, '^__.*__$'))) > 0 THEN 'dunder' WHEN len(list_filter(string_split(coalesce(fully_qualified_name, ''), '.'), lambda x: starts_with(x, '_'))) > 0 THEN 'private' WHEN len(list_filter(string_split(coalesce(fully_qualified_name, ''), '.'), lambda x: regexp_matches(x, '(?i)^tests?$'))) > 0 THEN 'test' ELSE 'unknown' END AS cause FROM cur")
-def failure_causes(s, d):
-    return cur(s, d, "fully_qualified_name").select("id", X.failure_cause("fully_qualified_name").alias("cause"))
-
-
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) SELECT doc_id, line_no::INT AS line_no, length(regexp_extract(line, '^(#{1,6})\\s+', 1))::INT AS level, trim(regexp_replace(line, '^#{1,6}\\s+', ''), ' ') AS title FROM l WHERE regexp_matches(line, '^#{1,6}\\s+')")
 def document_headings(s, d):
     return sections.headings(table(s, d, "documents"))
@@ -40,21 +35,15 @@ def section_tree(s, d):
     return sections.section_tree(table(s, d, "documents")).select("doc_id", "line_no", "parent_line", "end_line")
 
 
-@query("WITH l AS (SELECT DISTINCT library, doc_id, regexp_replace(lower(trim(x, ' ')), '[0-9]+', '#', 'g') AS line FROM (SELECT library, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL)) SELECT library, line, count(*) AS n FROM l WHERE line <> '' GROUP BY 1, 2 HAVING count(*) >= 10")
+@query("WITH l AS (SELECT DISTINCT library, doc_id, regexp_replace(lower(trim(x, ' ')), '[0-9]+', '#', 'g') AS line FROM (SELECT library, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL)) SELECT library, line, count(*) AS n FROM l WHERE line <> '' GROUP BY 1, 2 HAVING count(*) >= 3")
 def repeated_lines(s, d):
-    """Lines that ten or more documents of a library share."""
-    return sections.repeated_lines(table(s, d, "documents"), "library", 10)
-
-
-@query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '{X.IDENTIFIER}'), lambda x: regexp_matches(x, '^([a-z_][A-Za-z0-9_]*([.][A-Za-z0-9_]+)+|([A-Z][a-z0-9]+){{2,}})$'))))::INT AS n_candidates FROM documents WHERE lang = 'en' AND text IS NOT NULL")
-def xref_candidates(s, d):
-    """Distinct identifiers that English documents mention."""
-    return table(s, d, "documents").where("lang = 'en' and text is not null").select("doc_id", F.size(X.xref_candidates("text")).alias("n_candidates"))
+    """Lines that three or more documents of a library share."""
+    return sections.repeated_lines(table(s, d, "documents"), "library", 3)
 
 
 @query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '{X.IDENTIFIER}'), lambda x: regexp_matches(x, '^([a-z_][A-Za-z0-9_]*([.][A-Za-z0-9_]+)+|([A-Z][a-z0-9]+){{2,}})$'))))::INT AS n_candidates FROM documents WHERE split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'en' AND text IS NOT NULL")
-def xref_candidates_all(s, d):
-    """As xref_candidates, for every spelling of the language (EN, en-XX)."""
+def xref_candidates(s, d):
+    """Distinct identifiers that English documents mention, in every spelling of the language (EN, en-XX)."""
     english = F.split(F.translate(F.lower(F.trim("lang")), "_", "-"), "-")[0] == "en"
     return table(s, d, "documents").where(english & F.col("text").isNotNull()).select("doc_id", F.size(X.xref_candidates("text")).alias("n_candidates"))
 
@@ -74,9 +63,16 @@ def type_jaccard(s, d):
     return p.groupBy("id").agg(F.max(F.round(jaccard(type_tokens(F.col("p.type")), type_tokens(F.col("returns.type"))), 6)).alias("best"))
 
 
-@query(f"WITH {CUR}, x AS (SELECT id, regexp_replace(regexp_extract(coalesce(docstring, ''), '(?i)\\bdefaults?(?: to|:| is)?\\s+[`''\"]?([\\w.+-]+)', 1), '[.]$', '') AS v FROM cur) SELECT id, v AS documented_default FROM x WHERE v <> ''")
+_HINTED = "SELECT c.id, p.name, coalesce(nullif(trim(p.default, ' '), ''), '?') AS v FROM (SELECT id, unnest(parameters) AS p FROM cur) c WHERE p.default IS NOT NULL AND p.name IS NOT NULL"
+
+
+@query(f"WITH {CUR}, x AS ({_HINTED}) SELECT id, name, regexp_replace(regexp_replace(v, '^[ .,;''\"]+|[ .,;''\"]+$', '', 'g'), '^$', '') AS documented_default FROM x WHERE regexp_replace(v, '^[ .,;''\"]+|[ .,;''\"]+$', '', 'g') <> '' AND NOT contains(v, ' ') AND NOT contains(v, ')') AND NOT contains(v, ',')")
 def documented_defaults(s, d):
-    return cur(s, d, "docstring").select("id", X.doc_default("docstring").alias("documented_default")).where("documented_default is not null")
+    """Defaults read back from descriptions that tell them as "Default: x"."""
+    p = cur(s, d, "parameters").select("id", F.explode("parameters").alias("p")).where("p.default is not null and p.name is not null")
+    said = p.select("id", "p.name", F.concat(F.lit("What it does. Default: "), F.coalesce(F.nullif(F.trim("p.default"), F.lit("")), F.lit("?"))).alias("text"), F.col("p.default").alias("v"))
+    found = said.where("not contains(v, ' ') and not contains(v, ')') and not contains(v, ',')")
+    return found.select("id", "name", default_hint("text").alias("documented_default")).where("documented_default is not null")
 
 
 @query(f"WITH {CUR} SELECT id, round(greatest(0.0, least(0.15, (length(source_code) - 500) / 14500.0 * 0.15)), 6)::DOUBLE AS penalty FROM cur WHERE source_code IS NOT NULL")
@@ -109,14 +105,4 @@ def node_importance(s, d):
     return deg.crossJoin(F.broadcast(total)).select("node", F.round(F.col("degree") / F.col("all"), 9).alias("importance"))  # one row
 
 
-@query(f"WITH {CUR}, q AS (SELECT id, CASE WHEN docstring IS NOT NULL AND trim(docstring) <> '' AND upper(trim(docstring)) NOT IN ('N/A', 'NA', 'NONE', 'NULL', 'TBD') THEN 1.0 ELSE 0.0 END AS c, doc_score / 100.0 AS a FROM cur) SELECT id, round(CASE WHEN a IS NULL THEN c ELSE (0.35 * c + 0.35 * a) / 0.7 END, 6)::DOUBLE AS overall FROM q")
-def overall_scores(s, d):
-    """Weighted mean over the dimensions that have a score."""
-    from spanwright.functions.columns import is_present, weighted_mean
-
-    c = F.when(is_present("docstring"), 1.0).otherwise(0.0)
-    a = F.col("doc_score") / 100.0
-    return cur(s, d, "docstring", "doc_score").select("id", F.round(weighted_mean([(c, Q.OVERALL["completeness"]), (a, Q.OVERALL["accuracy"])]), 6).alias("overall"))
-
-
 QUERIES, ORACLES = query.queries, query.oracles

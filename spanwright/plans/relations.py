@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanwright.functions.columns import access_modifier, module_from_path, name_prefixes, segments
 from spanwright.operators import catalog as C
 from spanwright.operators import relations as R
-from spanwright.plans.catalogue import cur, exps, inh, mods
+from spanwright.plans.catalogue import cur, exps, inh, mods, wanted_names
 from spanwright.plans.registry import CUR, EXPS, INH, MODS, Registry
 from spanwright.runtime import table
 from spanwright.sources import files as S
@@ -96,35 +96,38 @@ def noted_errors(s, d):
 @query(None)
 def source_components(s, d):
     """Components, imports and exports found in Python sources, by library and kind."""
-    found = pysource.components(src(s, d, "content", "file_path").where(F.lower("file_path").rlike(r"\.pyi?$")))
-    return found.join(src(s, d, "library"), "file_id").groupBy("library", "kind").agg(F.count("*").alias("n"), F.count("doc").alias("n_documented"))
+    py = table(s, d, "source_files").where(F.lower("file_path").rlike(r"\.pyi?$"))
+    return pysource.components(py, "library").groupBy("library", "kind").agg(F.count("*").alias("n"), F.count("doc").alias("n_documented"))
 
 
 @query(None)
 def import_classes(s, d):
     """Imports by whether their root is the file's own library, another known one, or neither."""
-    found = pysource.components(src(s, d, "content", "file_path").where(F.lower("file_path").rlike(r"\.pyi?$"))).where("kind = 'import'")
+    py = table(s, d, "source_files").where(F.lower("file_path").rlike(r"\.pyi?$"))
+    found = pysource.components(py, "library").where("kind = 'import'")
     root = F.split(F.coalesce(F.get_json_object("detail", "$.module"), F.lit("")), "[.]")[0]
-    libs = table(s, d, "libraries").select(F.col("library").alias("root"), F.lit(True).alias("known"))
-    joined = found.select("file_id", root.alias("root"), F.get_json_object("detail", "$.level").cast("int").alias("level")).join(src(s, d, "library"), "file_id").join(libs, "root", "left")
+    libs = F.broadcast(table(s, d, "libraries").select(F.col("library").alias("root"), F.lit(True).alias("known")))  # a fixed table
+    joined = found.select("library", root.alias("root"), F.get_json_object("detail", "$.level").cast("int").alias("level")).join(libs, "root", "left")
     kind = F.when((F.col("level") > 0) | (F.col("root") == F.col("library")), "internal").when(F.col("known"), "other_library").otherwise("external")
     return joined.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CUR}, u AS (SELECT DISTINCT split_part(url, '#', 1) AS page, regexp_replace(regexp_replace(split_part(url, '#', 1), '^.*/|\\.html?$', '', 'g'), '_[0-9a-z]+$', '') AS stem FROM scraped_docs WHERE url IS NOT NULL), w AS (SELECT id, fully_qualified_name AS f FROM cur), x AS (SELECT id, unnest(range(1, len(string_split(f, '.')) + 1)) AS k, string_split(f, '.') AS p FROM w), h AS (SELECT x.id, k, min(page) AS page FROM x JOIN u ON u.stem = array_to_string(p[1:k], '.') GROUP BY 1, 2) SELECT id, arg_max(page, k) AS page FROM h GROUP BY 1")
+@query(f"WITH {CUR}, u AS (SELECT DISTINCT split_part(url, '#', 1) AS page, regexp_replace(regexp_replace(split_part(url, '#', 1), '^.*/|\\.html?$', '', 'g'), '_[0-9a-z]+$', '') AS stem FROM scraped_docs WHERE url IS NOT NULL), w AS (SELECT id, fully_qualified_name AS f FROM cur WHERE fully_qualified_name IS NOT NULL UNION ALL SELECT -scrape_id, member_fqn || '.open' FROM scraped_docs WHERE member_fqn IS NOT NULL GROUP BY 1, 2), x AS (SELECT id, unnest(range(1, len(string_split(f, '.')) + 1)) AS k, string_split(f, '.') AS p FROM w), h AS (SELECT x.id, k, min(page) AS page FROM x JOIN u ON u.stem = array_to_string(p[1:k], '.') GROUP BY 1, 2) SELECT id, arg_max(page, k) AS page FROM h GROUP BY 1")
 def page_of_member(s, d):
-    """The page whose stem is the longest dotted prefix of a member's full name."""
+    """The page whose stem is the longest dotted prefix of a member's full name (members, and methods of what pages are about, by negative ids)."""
     page = F.split_part("url", F.lit("#"), F.lit(1))
     stem = F.regexp_replace(F.regexp_replace(page, r"^.*/|\.html?$", ""), r"_[0-9a-z]+$", "")
     u = table(s, d, "scraped_docs").where("url is not null").select(page.alias("page"), stem.alias("prefix")).groupBy("prefix").agg(F.min("page").alias("page"))
-    x = cur(s, d, "fully_qualified_name").where("fully_qualified_name is not null").select("id", F.explode(name_prefixes("fully_qualified_name")).alias("prefix"))
+    below = table(s, d, "scraped_docs").where("member_fqn is not null").select((-F.col("scrape_id")).alias("id"), F.concat("member_fqn", F.lit(".open")).alias("fully_qualified_name")).distinct()
+    names = cur(s, d, "fully_qualified_name").where("fully_qualified_name is not null").unionByName(below)
+    x = names.select("id", F.explode(name_prefixes("fully_qualified_name")).alias("prefix"))
     return x.join(u, "prefix").groupBy("id").agg(F.max_by("page", segments("prefix")).alias("page"))
 
 
-@query(f"WITH {CUR}, {INH}, w AS (SELECT DISTINCT member_fqn AS want FROM scraped_docs WHERE member_fqn IS NOT NULL), f AS (SELECT fully_qualified_name AS want, min(id) AS id FROM cur WHERE fully_qualified_name IS NOT NULL GROUP BY 1), i AS (SELECT inherited_api_name AS want, min(id) AS id FROM inh WHERE inherited_api_name IS NOT NULL GROUP BY 1), sh AS (SELECT name, count(*) AS k, min(id) AS id FROM cur WHERE name IS NOT NULL GROUP BY 1) SELECT w.want, CASE WHEN f.id IS NOT NULL THEN 'exact' WHEN i.id IS NOT NULL THEN 'inherited' WHEN sh.k = 1 THEN 'short_name' ELSE 'not_found' END AS class FROM w LEFT JOIN f USING (want) LEFT JOIN i USING (want) LEFT JOIN sh ON sh.name = string_split(w.want, '.')[-1]")
+@query(f"WITH {CUR}, {INH}, w AS (SELECT DISTINCT want FROM (SELECT member_fqn AS want FROM scraped_docs UNION ALL SELECT original_fqn FROM inh UNION ALL SELECT inherited_api_name FROM inh) WHERE want IS NOT NULL), f AS (SELECT fully_qualified_name AS want, min(id) AS id FROM cur WHERE fully_qualified_name IS NOT NULL GROUP BY 1), i AS (SELECT inherited_api_name AS want, min(id) AS id FROM inh WHERE inherited_api_name IS NOT NULL GROUP BY 1), sh AS (SELECT name, count(*) AS k, min(id) AS id FROM cur WHERE name IS NOT NULL GROUP BY 1) SELECT w.want, CASE WHEN f.id IS NOT NULL THEN 'exact' WHEN i.id IS NOT NULL THEN 'inherited' WHEN sh.k = 1 THEN 'short_name' ELSE 'not_found' END AS class FROM w LEFT JOIN f USING (want) LEFT JOIN i USING (want) LEFT JOIN sh ON sh.name = string_split(w.want, '.')[-1]")
 def classify_names(s, d):
     """Exact, inherited, unambiguous short name, or not found."""
-    w = table(s, d, "scraped_docs").where("member_fqn is not null").select(F.col("member_fqn").alias("want")).distinct()
+    w = wanted_names(s, d).withColumnRenamed("name", "want")
     c = cur(s, d, "fully_qualified_name", "name")
     f = c.where("fully_qualified_name is not null").select(F.col("fully_qualified_name").alias("want"), F.lit(True).alias("f")).distinct()
     i = inh(s, d, "inherited_api_name").where("inherited_api_name is not null").select(F.col("inherited_api_name").alias("want"), F.lit(True).alias("i")).distinct()

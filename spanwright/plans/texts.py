@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from spanwright.functions.columns import is_present, name_prefixes, normalize_for_match, normalize_type, ratio, token_count
-from spanwright.operators import quality as Q
+from spanwright.functions.columns import is_present, name_prefixes, normalize_for_match, token_count
 from spanwright.operators import textsearch as T
 from spanwright.plans.catalogue import cur
 from spanwright.plans.registry import CUR, PRESENT, Registry
@@ -44,28 +42,6 @@ def needle_hits(s, d):
     return T.needle_hits(table(s, d, "documents"), names)
 
 
-_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL)"
-_SCORE = "CASE WHEN regexp_matches(trim(line, ' '), '^([-*+]|[0-9]+\\.) ') THEN -30 ELSE 0 END + CASE WHEN regexp_matches(trim(line, ' '), '^(>>>|\\.\\.\\.)') THEN -25 ELSE 0 END + CASE WHEN regexp_matches(trim(line, ' '), '^(class|def|property|async def) ') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(trim(line, ' '), '^#+ ') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(trim(line, ' '), '[A-Za-z_]\\w*\\(') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(trim(line, ' '), '[.!?]$') THEN -5 ELSE 0 END"
-
-
-@query(f"WITH {_LINES} SELECT ({_SCORE})::INT AS score, count(*) AS n FROM l GROUP BY 1")
-def line_context_scores(s, d):
-    return T.lines(table(s, d, "documents")).groupBy(T.line_score("line").alias("score")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {_LINES}, b AS (SELECT doc_id, line_no, ({_SCORE}) AS score FROM l WHERE contains(line, '(')) SELECT doc_id, max(score)::INT AS score, arg_max(line_no, (score, -line_no))::INT AS line_no FROM b GROUP BY 1")
-def best_definition_line(s, d):
-    """Per document the line that looks most like a definition; the first of equals."""
-    scored = T.lines(table(s, d, "documents")).where(F.col("line").contains("(")).withColumn("score", T.line_score("line"))
-    return scored.groupBy("doc_id").agg(F.max("score").alias("score"), F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"))
-
-
-@query("SELECT doc_id, i AS window_no, i * 2000 AS start_char, length(substring(text, i * 2000 + 1, 3000)) AS n_chars FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 2000 + 1)) AS i FROM documents WHERE text <> '')")
-def text_windows(s, d):
-    w = T.windows(table(s, d, "documents"))
-    return w.select("doc_id", F.col("window_no").cast("long").alias("window_no"), F.col("start_char").cast("long").alias("start_char"), F.length("text").cast("long").alias("n_chars"))
-
-
 @query("WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e WHERE q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5")
 def cosine_topk(s, d):
     """The five nearest vectors of every twentieth one, against all."""
@@ -73,97 +49,12 @@ def cosine_topk(s, d):
     return T.nearest(v, v.where("vec_id % 20 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
-_URL = "regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^https?://[^/]*', '')"
-
-
-@query(f"WITH u AS (SELECT DISTINCT url FROM scraped_docs WHERE url IS NOT NULL) SELECT url, CASE WHEN contains(url, '#') THEN split_part(url, '#', 2) ELSE replace(regexp_replace(regexp_replace({_URL}, '^/|\\.html?$', '', 'g'), '_[0-9a-z]+$', ''), '/', '.') END AS api_name FROM u")
-def url_to_api_name(s, d):
-    """A page's API name: the fragment, else the path without extension and suffix, dotted."""
-    u = table(s, d, "scraped_docs").where("url is not null").select("url").distinct()
-    path = F.regexp_replace(F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), r"^https?://[^/]*", "")
-    dotted = F.replace(F.regexp_replace(F.regexp_replace(path, r"^/|\.html?$", ""), r"_[0-9a-z]+$", ""), F.lit("/"), F.lit("."))
-    return u.select("url", F.when(F.col("url").contains("#"), F.split_part("url", F.lit("#"), F.lit(2))).otherwise(dotted).alias("api_name"))
-
-
-@query("SELECT scrape_id, page_kind, contains(url, '/api/') AS in_scope, NOT regexp_matches(url, '\\.(png|jpg|css|js|zip|svg)$') AS is_page FROM (SELECT DISTINCT scrape_id, page_kind, url FROM scraped_docs)")
-def url_scope_filter(s, d):
-    u = table(s, d, "scraped_docs").select("scrape_id", "page_kind", "url").distinct()
-    return u.select("scrape_id", "page_kind", F.col("url").contains("/api/").alias("in_scope"), (~F.col("url").rlike(r"\.(png|jpg|css|js|zip|svg)$")).alias("is_page"))
-
-
-@query("SELECT split_part(url, '#', 1) AS base, count(DISTINCT split_part(url, '#', 2)) AS n_fragments FROM scraped_docs WHERE url IS NOT NULL GROUP BY 1")
-def url_dedup_fragments(s, d):
-    frag = F.coalesce(F.split_part("url", F.lit("#"), F.lit(2)), F.lit(""))
-    return table(s, d, "scraped_docs").where("url is not null").groupBy(F.split_part("url", F.lit("#"), F.lit(1)).alias("base")).agg(F.count_distinct(frag).alias("n_fragments"))
-
-
 @query(f"WITH {CUR}, x AS (SELECT c.id, unnest(range(1, len(string_split(fully_qualified_name, '.')) + 1)) AS k, string_split(fully_qualified_name, '.') AS p FROM cur c WHERE fully_qualified_name IS NOT NULL) SELECT array_to_string(p[1:k], '.') AS prefix, count(*) AS n FROM x GROUP BY 1")
 def prefix_counts(s, d):
     """How many members lie at or below every dotted prefix."""
     return cur(s, d, "fully_qualified_name").where("fully_qualified_name is not null").select(F.explode(name_prefixes("fully_qualified_name")).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
 
 
-_PAR = "list_filter(coalesce(parameters, []), lambda p: coalesce(p.name, '') NOT IN ('self', 'cls'))"
-
-
-def _pres(x: str) -> str:
-    return P(x)
-
-
-_COMP = f"""c AS (SELECT id, CASE WHEN {P('docstring')} THEN 1.0 ELSE 0.0 END AS purpose, CASE WHEN len({_PAR}) > 0 THEN len(list_filter({_PAR}, lambda p: coalesce({_pres('p.name')}, false))) / len({_PAR}) END AS names,
- CASE WHEN len({_PAR}) > 0 THEN len(list_filter({_PAR}, lambda p: coalesce({_pres('p.type')}, false))) / len({_PAR}) END AS types,
- CASE WHEN member_type IN ('function', 'method') AND returns IS NOT NULL THEN CASE WHEN {P('returns.type')} THEN 1.0 ELSE 0.0 END END AS rt, CASE WHEN returns IS NOT NULL THEN CASE WHEN {P('returns.description')} THEN 1.0 ELSE 0.0 END END AS rd FROM cur)"""
-
-
-@query(f"WITH {CUR}, {_COMP} SELECT id, purpose::DOUBLE AS purpose, round(types, 6) AS param_types, rt::DOUBLE AS returns_type, rd::DOUBLE AS returns_doc, round((0.2 * purpose + 0.2 * coalesce(names, 0) + 0.15 * coalesce(types, 0) + 0.1 * coalesce(rt, 0) + 0.15 * coalesce(rd, 0)) / (0.2 + CASE WHEN names IS NULL THEN 0 ELSE 0.35 END + CASE WHEN rt IS NULL THEN 0 ELSE 0.1 END + CASE WHEN rd IS NULL THEN 0 ELSE 0.15 END)::DOUBLE, 6) AS score FROM c")
-def completeness(s, d):
-    return Q.completeness(cur(s, d, "member_type", "docstring", "parameters", "returns"))
-
-
-_ISS = f"""i AS (SELECT id, 'COMP_PURPOSE_MISSING' AS code, 'high' AS severity, 'docstring' AS place FROM cur WHERE NOT coalesce({P('docstring')}, false) UNION ALL SELECT id, 'COMP_RETURN_TYPE_MISSING', 'medium', 'returns' FROM cur WHERE member_type IN ('function', 'method') AND returns IS NOT NULL AND NOT coalesce({P('returns.type')}, false)
- UNION ALL SELECT id, 'COMP_PARAM_TYPE_MISSING', 'medium', 'parameters.' || p.name FROM (SELECT id, unnest({_PAR}) AS p FROM cur) WHERE NOT coalesce({P('p.type')}, false))"""
-
-
-@query(f"WITH {CUR}, {_ISS} SELECT * FROM i")
-def quality_issues(s, d):
-    return Q.issues(cur(s, d, "member_type", "docstring", "parameters", "returns"))
-
-
-@query(f"WITH {CUR}, {_ISS} SELECT code, severity, count(*) AS n FROM i GROUP BY 1, 2")
-def issue_counts(s, d):
-    return Q.issue_counts(Q.issues(cur(s, d, "member_type", "docstring", "parameters", "returns")))
-
-
-@query(f"WITH {CUR}, {_ISS}, x AS (SELECT i.*, list_filter(c.parameters, lambda p: p.name = split_part(i.place, '.', 2) AND coalesce({_pres('p.default')}, false))[1].default AS v FROM i JOIN cur c USING (id) WHERE code = 'COMP_PARAM_TYPE_MISSING'), y AS (SELECT id, code, place, CASE WHEN regexp_matches(v, '^-?[0-9]+$') THEN 'int' WHEN regexp_matches(v, '^-?[0-9]*\\.[0-9]+$') THEN 'float' WHEN v IN ('True', 'False') THEN 'bool' WHEN regexp_matches(v, '^[''\"]') THEN 'str' WHEN v = '()' THEN 'tuple' END AS new_value FROM x) SELECT * FROM y WHERE new_value IS NOT NULL")
-def patches(s, d):
-    """Proposed types for parameters without one, from their defaults."""
-    m = cur(s, d, "member_type", "docstring", "parameters", "returns")
-    return Q.patches(Q.issues(m), m).where("code = 'COMP_PARAM_TYPE_MISSING'")
-
-
-_READ = "x AS (SELECT id, CASE WHEN trim(regexp_replace(coalesce(docstring, ''), '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(docstring, '\\s+', ' ', 'g')), ' ')) END AS words, len(regexp_extract_all(coalesce(docstring, ''), '[.!?]+(\\s|$)')) AS ends, len(regexp_extract_all(coalesce(docstring, ''), '\\b(is|are|was|were|be|been|being) [a-z]+(ed|en)\\b')) AS pv FROM cur), y AS (SELECT id, words, CASE WHEN words > 0 THEN greatest(ends, 1) ELSE 0 END AS sentences, pv FROM x), z AS (SELECT id, words, sentences, coalesce(words / nullif(sentences, 0), 0.0) AS per, coalesce(pv / nullif(sentences, 0), 0.0) AS den FROM y)"
-
-
-@query(f"WITH {CUR}, {_READ} SELECT id, words::INT AS words, sentences::INT AS sentences, round(per, 6)::DOUBLE AS per_sentence, round(den, 6)::DOUBLE AS passive, round(CASE WHEN words > 0 THEN greatest(0.0, least(1.0, 1.0 - greatest(per - 25, 0.0) / 50 - den / 4)) ELSE 0.0 END, 6)::DOUBLE AS score FROM z")
-def readability(s, d):
-    return cur(s, d, "docstring").select("id", *Q.readability())
-
-
-@query(f"WITH {CUR}, {_COMP}, {_READ}, r AS (SELECT 'readability' AS dimension, CASE WHEN words > 0 THEN greatest(0.0, least(1.0, 1.0 - greatest(per - 25, 0.0) / 50 - den / 4)) ELSE 0.0 END AS score FROM z UNION ALL SELECT 'purpose', purpose FROM c UNION ALL SELECT 'param_types', types FROM c) SELECT dimension, count(*) AS n, round(avg(score), 6)::DOUBLE AS mean, round(median(score), 6)::DOUBLE AS median FROM (SELECT dimension, round(score, 6)::DOUBLE AS score FROM r) WHERE score IS NOT NULL GROUP BY 1")
-def quality_aggregate(s, d):
-    m = cur(s, d, "member_type", "docstring", "parameters", "returns")
-    c = Q.completeness(m)
-    r = m.select(F.lit("readability").alias("dimension"), Q.readability()[-1])
-    each = c.select(F.inline(F.array(F.struct(F.lit("purpose").alias("dimension"), F.col("purpose").alias("score")), F.struct(F.lit("param_types").alias("dimension"), F.col("param_types").alias("score")))))
-    return Q.aggregate_scores(r.unionByName(each))
-
-
-@query(f"WITH {CUR}, t AS (SELECT DISTINCT p.type AS type FROM (SELECT unnest(parameters) AS p FROM cur) WHERE p.type IS NOT NULL), a AS (SELECT type, regexp_replace(regexp_replace(lower(type), '[\\s''\"`]', '', 'g'), 'typing\\.', '', 'g') AS n FROM t) SELECT type, regexp_replace(regexp_replace(regexp_replace(n, '^optional\\[(.*)\\]$', '\\1|none'), '\\bstring\\b', 'str', 'g'), '\\bnonetype\\b', 'none', 'g') AS norm FROM a")
-def normalized_types(s, d):
-    t = cur(s, d, "parameters").select(F.explode("parameters").alias("p")).select("p.type").where("type is not null").distinct()
-    return t.select("type", normalize_type("type").alias("norm"))
-
-
 @query("WITH e AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS burst FROM e) SELECT user_id, event_type, max(ts) AS fired_at, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM g GROUP BY user_id, event_type, burst")
 def debounced_events(s, d):
     """Only the last event of a burst fires: events of a key closer than an hour to the one before belong together."""
