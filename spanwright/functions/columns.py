@@ -106,11 +106,3 @@ def type_tokens(c: str | Column) -> Column:
     """Distinct lower-case word tokens of a type text, without or/and/of."""
     words = F.filter(F.split(F.lower(coalesce_text(c)), "[^a-z0-9_]+"), lambda x: x != "")
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(x) for x in ("or", "and", "of")]))
-
-
-def normalize_type(c: str | Column) -> Column:
-    """One spelling per type: no spaces or quotes, Optional[X] as X|None, Union[A,B] as A|B, typing prefixes and long names shortened."""
-    t = F.regexp_replace(F.lower(coalesce_text(c)), r"[\s'\"`]", "")
-    for old, new in ((r"typing\.", ""), (r"^optional\[(.*)\]$", "$1|none"), (r"^union\[(.*)\]$", "$1"), (r"\bstring\b", "str"), (r"\binteger\b", "int"), (r"\bboolean\b", "bool"), (r"\bnonetype\b", "none")):
-        t = F.regexp_replace(t, old, new)
-    return F.when(coalesce_text(c).rlike(r"(?i)^\s*(typing\.)?union\["), F.replace(t, F.lit(","), F.lit("|"))).otherwise(t)

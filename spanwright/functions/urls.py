@@ -87,9 +87,10 @@ def retry_after(header: str | Column) -> Column:
     """Seconds a Retry-After header asks to wait, as a number or up to a date from now; null if it is neither."""
     h = F.trim(col(header))
     date = F.try_to_timestamp(F.regexp_replace(h, r"^\w{3},\s*|\s*GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(h.try_cast("double"), F.greatest(F.lit(0.0), (F.unix_timestamp(date) - F.unix_timestamp(F.current_timestamp())).cast("double")))
+    left = (F.unix_timestamp(date) - F.unix_timestamp(F.current_timestamp())).cast("double")
+    return F.coalesce(h.try_cast("double"), F.when(date.isNotNull(), F.greatest(F.lit(0.0), left)))
 
 
 def next_delay(delay: Column, asked: Column, most: float = 6.0) -> Column:
     """The delay after a refusal: what was asked for, else twice the last one, up to a bound."""
-    return F.least(F.lit(most), F.greatest(delay, asked)) if asked is not None else F.least(F.lit(most), delay * 2)
+    return F.least(F.lit(most), F.when(asked.isNotNull(), F.greatest(delay, asked)).otherwise(delay * 2))

@@ -11,10 +11,10 @@ from spanwright.functions.columns import is_present, name_prefixes, segments
 def current(members: DataFrame, *columns: str) -> DataFrame:
     """(id, columns): each member's row of the latest ``ingested_at``.
 
-    Ties go to the greatest docstring, public name and format, nulls last; only
-    those columns and the ones asked for are read.
+    Ties go to the greatest digest of the docstring, public name and format; the
+    digest stands for the text, so docstrings are shuffled only where they are asked for.
     """
-    latest = F.struct("ingested_at", "docstring", "primary_api_name", "doc_format")
+    latest = F.struct("ingested_at", F.md5(F.coalesce("docstring", F.lit(""))).alias("d"), "primary_api_name", "doc_format")
     return members.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*columns), latest).alias("r")).select("id", "r.*")
 
 

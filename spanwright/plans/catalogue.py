@@ -120,7 +120,7 @@ def members_by_doc_format(s, d):
     return cur(s, d, "doc_format").groupBy(F.coalesce("doc_format", F.lit("none")).alias("doc_format")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CUR} SELECT id, CASE doc_format WHEN 'structured' THEN docstring END AS structured, CASE doc_format WHEN 'raw' THEN substring(docstring, 1, 2000) END AS raw_text FROM cur")
+@query(f"WITH {CUR} SELECT id, CASE doc_format WHEN 'structured' THEN docstring END AS structured, CASE doc_format WHEN 'raw' THEN docstring END AS raw_text FROM cur")
 def documentation_by_format(s, d):
     f = F.col("doc_format")
     return cur(s, d, "doc_format", "docstring").select("id", F.when(f == "structured", F.col("docstring")).alias("structured"), F.when(f == "raw", F.col("docstring")).alias("raw_text"))

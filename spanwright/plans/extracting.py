@@ -236,7 +236,7 @@ def candidate_sections(s, d):
     return E.candidate_sections(_tree(s, d), ["a"])
 
 
-@query("WITH x AS (SELECT DISTINCT library, id, depth AS level, a AS first_page, b AS last_page FROM (SELECT library, id, len(string_split(fully_qualified_name, '.')) AS depth, source_start_line // 50 AS a, source_end_line // 50 AS b FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, docstring DESC NULLS LAST, primary_api_name DESC NULLS LAST, doc_format DESC NULLS LAST) AS rn FROM members WHERE id IS NOT NULL) WHERE rn = 1)) WHERE b >= a AND depth IS NOT NULL), g AS (SELECT library, id, level, unnest(range(first_page, last_page + 1)) AS page FROM x), k AS (SELECT library, page, max(level) AS deepest FROM g GROUP BY 1, 2) SELECT DISTINCT id FROM g JOIN k USING (library, page) WHERE level = deepest")
+@query("WITH x AS (SELECT DISTINCT library, id, depth AS level, a AS first_page, b AS last_page FROM (SELECT library, id, len(string_split(fully_qualified_name, '.')) AS depth, source_start_line // 50 AS a, source_end_line // 50 AS b FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, md5(coalesce(docstring, '')) DESC, primary_api_name DESC NULLS LAST, doc_format DESC NULLS LAST) AS rn FROM members WHERE id IS NOT NULL) WHERE rn = 1)) WHERE b >= a AND depth IS NOT NULL), g AS (SELECT library, id, level, unnest(range(first_page, last_page + 1)) AS page FROM x), k AS (SELECT library, page, max(level) AS deepest FROM g GROUP BY 1, 2) SELECT DISTINCT id FROM g JOIN k USING (library, page) WHERE level = deepest")
 def uncovered_sections(s, d):
     """Members (as sections of their library, over their lines by fifties) that have a stretch no deeper one has."""
     c = cur(s, d, "library", "fully_qualified_name", "source_start_line", "source_end_line")

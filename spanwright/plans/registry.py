@@ -27,7 +27,7 @@ class Registry:
 
 
 #: SQL for the current row of each member, each module and each export once.
-CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, docstring DESC NULLS LAST, primary_api_name DESC NULLS LAST, doc_format DESC NULLS LAST) AS rn FROM members WHERE id IS NOT NULL) WHERE rn = 1)"
+CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, md5(coalesce(docstring, '')) DESC, primary_api_name DESC NULLS LAST, doc_format DESC NULLS LAST) AS rn FROM members WHERE id IS NOT NULL) WHERE rn = 1)"
 MODS = "mods AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name) AS rn FROM modules WHERE id IS NOT NULL) WHERE rn = 1)"
 EXPS = "exps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY exported_name) AS rn FROM exports WHERE id IS NOT NULL) WHERE rn = 1)"
 INH = "inh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY member_name) AS rn FROM inherited_members WHERE id IS NOT NULL) WHERE rn = 1)"

@@ -29,7 +29,10 @@ def test_rows_of_source():
     got = [(r[0], r[1], r[2]) for r in rows_of("﻿" + src)]
     assert got == [("import", "p", None), ("import", "*", None), ("exports", "__all__", None), ("class", "A", None), ("variable", "y", "A"), ("function", "f", "A"), ("import", "q", None), ("variable", "q", None)]
     detail = next(r[6] for r in rows_of(src) if r[1] == "f")
-    assert detail["signatures"] == {"full": "f(a, b: int=2, *c, k='z', **kw) -> str", "no_types": "f(a, b=2, *c, k='z', **kw)", "no_defaults": "f(a, b: int, *c, k, **kw) -> str", "names": "f(a, b, *c, k, **kw)"}
+    assert detail["signatures"] == {
+        "full": "f(a, /, b: int=2, *c, k='z', **kw) -> str", "no_types": "f(a, /, b=2, *c, k='z', **kw)", "no_defaults": "f(a, /, b: int, *c, k, **kw) -> str", "names": "f(a, b, *c, k, **kw)",
+        "no_slash": "f(a, b: int=2, *c, k='z', **kw) -> str", "no_types_no_slash": "f(a, b=2, *c, k='z', **kw)",
+    }
     assert rows_of("x = (")[0][:2] == ("error", "SyntaxError") and rows_of("") == []
     assert signature_variants("g", [], None) == {"full": "g()"}
 
