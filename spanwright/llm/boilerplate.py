@@ -1,4 +1,9 @@
-"""Main text of scraped pages: a linear-chain CRF over the leaf blocks (lines) of a page.
+"""Main text of scraped pages: a linear-chain CRF over the leaf blocks of a page.
+
+A page that comes as HTML is taken apart into the leaf blocks of its DOM, each with
+its ancestor tags (``dom_blocks``).  Text that was scraped already has lost its DOM; there
+the lines are the leaf blocks, and the ancestors are what the scraper left of them
+on a line: list bullets, indents, heading signs, prompts, pipes of table cells.
 
 States: ``before`` (furniture up to the title), ``main``, ``within`` (controls and
 notices put between main lines) and ``after``.  The features of a line are its
@@ -23,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from zlib import crc32
 
 import numpy as np
@@ -39,9 +45,13 @@ FIT_PAGES = 1500
 BEFORE, MAIN, WITHIN, AFTER = range(4)
 _BITS = 15
 
-# fixed values: labels of controls that pages put into the running text; used to label the sample only
-CONTROLS = {"copy", "copy to clipboard", "run this cell", "advertisement", "[source]", "open in playground", "was this helpful?", "subscribe to release mail", "edit on the mirror", "share this page", "loading comments...", "toggle table of contents", "show more", "read more", "print this page", "expand all", "collapse all", "back to top"}
-_CONTROL = re.compile(r"read this page in\b|sponsored\b|advertisement\b|was this (?:page )?helpful", re.I)
+# fixed values: words that controls of web pages begin with, and notices; used to label the sample only
+_CONTROL = re.compile(
+    r"\[?(?:copy|print|share|edit|subscribe|expand|collapse|toggle|show|hide|read|open|run|load(?:ing)?|back|view|download|report|rate|sign|log|follow|tweet|like|source|jump|skip)\b[^.!?;]{0,60}(?:\.\.\.|…)?\]?$"
+    r"|(?:advertise(?:ment)?|sponsored|ad)\b|(?:was|is|did) this\b.{0,30}\b(?:helpful|useful|help)\b|.{0,30}\bin (?:your|another) (?:language|browser)\b",
+    re.I,
+)
+_ASIDE = re.compile(r"(?:advertise(?:ment)?|sponsored|ad)\b|(?:was|is|did) this\b.{0,30}\b(?:helpful|useful|help)\b", re.I)
 _MONTH = re.compile(r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\b")
 _DIGITS = re.compile(r"\d[\d.,]*")
 _SNAKE = re.compile(r"(?<![\w.])_?[a-z]+(?:_[a-z0-9]+)+(?:\(\))?(?![\w.])")
@@ -77,11 +87,87 @@ def _pattern(line: str, full: str, short: str, library: str | None) -> str:
 _TITLE = re.compile(r"(?:(?:class|def|function|method|module|exception)\s+)?(?:OWNFULL|LIB\.OWN|OWN)(?:\(.*\))?(?:\s+—\s+LIB.*)?$")
 
 
+_HTML = re.compile(r"<(?:html|body|div|p|section|article|nav|main|ul|table|h[1-6])\b[^>]*>", re.I)
+_LEAF_END = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd", "pre", "br", "section", "article", "nav", "header", "footer", "aside", "main", "ul", "ol", "dl", "table", "form", "button", "blockquote", "body"}
+
+
+class _Dom(HTMLParser):
+    """Leaf blocks: stretches of text between block tags, with the line they begin on and the tags that are open there."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.blocks: list[tuple[int, str, tuple[str, ...]]] = []
+        self.text: list[str] = []
+        self.line = 0
+
+    def _flush(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.blocks.append((self.line, text, tuple(self.open)))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _LEAF_END:
+            self._flush()
+        if tag not in ("br", "img", "hr", "meta", "link", "input"):
+            self.open.append(tag)
+            role = dict(attrs).get("role") or dict(attrs).get("class") or ""
+            self.open[-1] += "." + role.split()[0].lower() if role.split() else ""
+
+    def handle_endtag(self, tag):
+        if tag in _LEAF_END:
+            self._flush()
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].split(".")[0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if data.strip() and not (self.open and self.open[-1].split(".")[0] in ("script", "style", "template")):
+            if not self.text:
+                self.line = self.getpos()[0] - 1 + data[: len(data) - len(data.lstrip())].count("\n")
+            self.text.append(data)
+
+
+def dom_blocks(html: str) -> list[tuple[int, str, tuple[str, ...]]]:
+    """(line, text, ancestor tags) of the leaf blocks of an HTML page; a tag's class or role is written behind it."""
+    dom = _Dom()
+    dom.feed(html)
+    dom.close()
+    dom._flush()
+    return dom.blocks
+
+
+def _ancestors(raw: str) -> tuple[str, ...]:
+    """The tags that a scraped line's marks are left of."""
+    s = raw.strip()
+    out = ["li"] if s[:1] in "-*•▪" and s[1:2] == " " else []
+    out += ["pre"] if s.startswith((">>>", "...")) or raw.startswith("    ") else []
+    out += ["h"] if s.endswith("¶") or s.startswith("#") else []
+    out += ["td"] if "|" in s or "\t" in s else []
+    return tuple([*(["nested"] if raw[:1].isspace() else []), *out]) or ("p",)
+
+
 class Page:
-    """The non-blank lines of one page with what the features need."""
+    """The leaf blocks of one page with what the features need."""
 
     def __init__(self, text: str, url: str | None, fqn: str | None, library: str | None):
         full, short = own_names(url, fqn, library)
+        self.tags: list[tuple[str, ...]] = []
+        if _HTML.search(text):
+            blocks = dom_blocks(text)
+            self.at = [at for at, _, _ in blocks]
+            self.raw = [t for _, t, _ in blocks]
+            self.tags = [tags for _, _, tags in blocks]
+            self.block, self.gap = [], []
+            for i, tags in enumerate(self.tags):
+                new = not i or self.tags[i - 1][:-1] != tags[:-1]
+                self.gap.append(new)
+                self.block.append(i if new else self.block[-1])
+            self.pattern = [_pattern(x, full, short, library) for x in self.raw]
+            self.title = [bool(short) and bool(_TITLE.match(p)) for p in self.pattern]
+            return
         self.at: list[int] = []
         self.raw: list[str] = []
         self.block: list[int] = []  # index of the first line of the block
@@ -96,6 +182,7 @@ class Page:
                 first = len(self.at)
             self.at.append(i)
             self.raw.append(line)
+            self.tags.append(_ancestors(line))
             self.block.append(first)
             self.gap.append(blank)
             blank = False
@@ -142,8 +229,10 @@ def features(page: Page) -> list[list[int]]:
         f = ["1", rel, "p" + p, rel + p, "T" if page.title[i] else "t", "g" if page.gap[i] else "G", "P" + prev, "N" + nxt, "B" + head, "BR" + head + rel, "notitle" if first_title == n else "titled"]
         f += shape
         f += [rel + x for x in shape]
-        f += ["w" + w for w in words[:12]]
-        f += ["b" + words[k] + " " + words[k + 1] for k in range(min(6, len(words) - 1))]
+        f += ["w" + w for w in words]
+        f += ["b" + a + " " + b for a, b in zip(words, words[1:])]
+        tags = page.tags[i]
+        f += ["a" + t for t in tags] + ["aa" + ">".join(tags[-2:]), "aR" + tags[-1] + rel]
         if s[-1] == "¶":
             f.append("anchor")
         rest = seen[p] - before[p] - 1
@@ -166,11 +255,13 @@ class Furniture:
 
     def __init__(self, pages: list[Page]):
         self.known: Counter = Counter()
+        self.pages: Counter = Counter()
         untitled: Counter = Counter()
         anchored: Counter = Counter()
         for page in pages:
             first = next((i for i, t in enumerate(page.title) if t), len(page.at))
             self.known.update(set(page.pattern[:first]))
+            self.pages.update(set(page.pattern))
             if first == len(page.at):
                 untitled.update(set(page.pattern))
             for i in range(first + 1, len(page.at)):
@@ -181,6 +272,10 @@ class Furniture:
         self.unsure = {h for h in anchored if untitled[h]}
         self.long = [k for k, c in self.known.items() if c > 1 and len(k) > 9]
 
+    def control(self, line: str, p: str) -> bool:
+        """Does a line begin like a control of a page, and do other pages have it too?"""
+        return p not in self.headings and bool(_CONTROL.match(line)) and (self.pages[p] > 2 or bool(_ASIDE.match(line)))
+
     def has(self, p: str) -> bool:
         if p in self.headings or p in ("snake_name", "CamelName"):
             return False
@@ -200,7 +295,7 @@ def label_page(page: Page, furniture: Furniture) -> list[int]:
         s, p = page.raw[i].strip(), page.pattern[i]
         if i == first or page.title[i] and i == first + 1:
             kinds.append(MAIN)
-        elif s.lower() in CONTROLS or _CONTROL.match(s):
+        elif furniture.control(s, p):
             kinds.append(WITHIN)
         elif p in furniture.unsure and (s[-1] == "¶" or i + 1 < n and not page.gap[i + 1] and page.raw[i].lstrip()[0] not in "-*•" and not furniture.has(page.pattern[i + 1]) and page.pattern[i + 1] != "CamelName"):
             kinds.append(MAIN)
@@ -232,7 +327,7 @@ def fit(rows: list[tuple]) -> LinearChain:
     """The CRF of a sample of (text, url, member_fqn, library)."""
     pages = [Page(*r) for r in rows]
     furniture = Furniture(pages)
-    kept = [p for p in pages[:FIT_PAGES] if p.at]
+    kept = [p for p in pages[:FIT_PAGES] if p.at]  # the rows come in the order of their ids' hashes
     return LinearChain(4, 1 << _BITS).fit([features(p) for p in kept], [label_page(p, furniture) for p in kept], epochs=4)
 
 
@@ -246,7 +341,7 @@ def main_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     spark = pages.sparkSession
     read = pages.select(*_COLUMNS).where("scraped_doc is not null and scrape_id is not null and trim(scraped_doc) <> ''")
     sample = {r[0]: tuple(r)[1:] for r in bounded_sample(read, "scrape_id", sample_pages)}
-    model = fit(list(sample.values()))
+    model = fit([sample[k] for k in sorted(sample, key=lambda k: crc32(str(k).encode()))])
     used = np.flatnonzero(np.abs(model.weights).max(1) > 1e-4)
     shared = spark.sparkContext.broadcast((used, model.weights[used].astype(np.float16), model.moves, model.first, model.last))  # 2**15 rows at most
 

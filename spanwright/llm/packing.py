@@ -10,7 +10,7 @@ named as apart.
 Buckets are made by hash and bounded in tokens, so no task gets more than its
 share whatever the sources' sizes.  What a bucket leaves open (bins less than
 ``GOOD_FILL`` full) is taken apart and packed again in ever fewer buckets, until
-one is left or nothing is loose.
+one is left, nothing is loose, or a round leaves as many loose tokens as it found.
 
 Only items longer than the capacity are split: into whole containers and a rest,
 which is an item like any other.
@@ -107,17 +107,19 @@ def packed(sized: DataFrame, runs: DataFrame, apart: frozenset[frozenset[str]] =
     rest = items.where("whole = 0 or n_tokens > whole * capacity").select(
         "run_id", "capacity", "doc_id", F.col("whole").alias("piece_no"), (F.col("whole").cast("long") * F.col("capacity")).alias("start_token"), (F.col("n_tokens") - F.col("whole").cast("long") * F.col("capacity")).alias("n_tokens"), "source", "copy_of"
     )
-    done, level = [full], 0
+    done, level, before = [full], 0, None
     while True:
         # a bucket holds some BINS_PER_BUCKET containers' tokens and at most 16 times as many items
-        load = rest.groupBy("run_id").agg(F.greatest(F.ceil(F.sum("n_tokens") / (F.first("capacity") * F.lit(BINS_PER_BUCKET))), F.ceil(F.count("*") / F.lit(16 * BINS_PER_BUCKET)), F.lit(1)).alias("n_buckets"))
-        loads = {r[0]: int(r[1]) for r in load.collect()}  # one row per run
+        load = rest.groupBy("run_id").agg(F.greatest(F.ceil(F.sum("n_tokens") / (F.first("capacity") * F.lit(BINS_PER_BUCKET))), F.ceil(F.count("*") / F.lit(16 * BINS_PER_BUCKET)), F.lit(1)).alias("n_buckets"), F.sum("n_tokens").alias("loose"))
+        found = load.collect()  # one row per run
+        loads, loose = {r[0]: int(r[1]) for r in found}, {r[0]: int(r[2] or 0) for r in found}
         if not loads:
             break
         buckets = F.create_map(*[F.lit(x) for kv in loads.items() for x in kv])[F.col("run_id")]
         salted = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), buckets).cast("long"))
         result = written(salted.groupBy("run_id", "bucket").applyInPandas(_packer(level, apart), _OUT), "packed")
-        last = level >= 8 or all(n == 1 for n in loads.values())
+        last = loose == before or all(n == 1 for n in loads.values())
+        before = loose
         good = F.lit(True) if last else (F.col("bin_fill") >= GOOD_FILL * F.col("capacity")) | F.col("run_id").isin([r for r, n in loads.items() if n == 1])
         done.append(result.where(good))
         if last:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanwright.llm import boilerplate, docpairs, mixing, origin, packing, sentences, tokens, validity
 from spanwright.runtime import table
@@ -44,6 +45,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_runs"))
 
 
+def p7_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run: containers, and those that hold both of the two sources that were to be kept apart (the first two by name): none."""
+    sized = tokens.sized_documents(table(spark, sf_dir, "documents"))
+    two = [r[0] for r in sized.where("source is not null").select("source").distinct().orderBy("source").limit(2).collect()]  # two names
+    apart = frozenset({frozenset(two)}) if len(two) == 2 else frozenset()
+    placed = packing.packed(sized, table(spark, sf_dir, "pack_runs"), apart)
+    own = sized.select("doc_id", "source")
+    bins = placed.join(own, "doc_id").groupBy("run_id", "bin_id").agg(F.count_distinct(F.when(F.col("source").isin(*two), F.col("source"))).alias("of_two"))
+    return bins.groupBy("run_id").agg(F.count("*").alias("n_bins"), F.count_if(F.col("of_two") > 1).alias("n_mixed"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
@@ -56,5 +68,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p4_validation, p5_found, p5_pairs, p7_pack, p7_report, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p4_validation, p5_found, p5_pairs, p7_pack, p7_report, p7_apart, p8_mix, p8_shares, p9_found)}
 ORACLES: dict[str, str] = {}

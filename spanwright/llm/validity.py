@@ -1,9 +1,11 @@
 """Source files that do not parse: lexers with a pushdown stack, then an exact check where one exists.
 
-Every file goes through the lexer of its extension's language (``lexing``).  What
-it faults is invalid.  JSON and ECMAScript recognisers are complete for what they
-accept; Python and TOML texts that the lexer finds clean are then parsed, as
-indentation and statement order are beyond a bracket stack.
+Every file goes through the lexer of its extension's language (``lexing``), Python
+through a recogniser with stacks of brackets, indents and blocks as well
+(``pystack``).  What they fault is invalid.  Two exact parsers follow: a Python
+file that only the recogniser faults must be refused by the compiler too, and
+what the Python and TOML lexers pass is parsed once more; what that alone finds
+is of the kind ``parser`` and counted apart in the rates.
 
 Defined results: null content is no case; an unknown extension is no case; a
 byte-order mark and any line end are no fault; an empty text is valid Python,
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.llm import pystack
 from spanwright.llm.lexing import javascript_fault, json_fault, line_ends, python_fault, toml_fault
 from spanwright.runtime import spread
 
@@ -49,15 +52,18 @@ def _python(text: str) -> ast.AST:
 
 def fault(ext: str, content: str) -> str | None:
     """The kind of fault of one file, or None."""
+    text = line_ends(content)
+    if ext == "json":
+        return json_fault(text)
+    if ext == "toml":
+        return toml_fault(text) or (None if _parses(text, tomllib.loads) else "parser")
     if ext not in ("py", "pyi"):
-        text = line_ends(content)
-        if ext == "json":
-            return json_fault(text)
-        if ext == "toml":
-            return toml_fault(text) or (None if _parses(text, tomllib.loads) else "grammar")
         return javascript_fault(text)
-    text = line_ends(content)
-    return python_fault(text) or (None if _parses(text, _python) else "grammar")
+    sure = python_fault(text)
+    if sure:
+        return sure
+    found, parses = pystack.fault(text), _parses(text, _python)
+    return None if parses else found or "parser"
 
 
 def checked_files(files: DataFrame) -> DataFrame:
@@ -83,6 +89,10 @@ def invalid_files(files: DataFrame) -> DataFrame:
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
-    """(library, language, n_files, n_invalid, rate) with a file counted once; null libraries form one group."""
+    """(library, language, n_files, n_invalid, n_parser_only, rate) with a file counted once; null libraries form one group.
+
+    n_parser_only: those of the invalid files that no lexer faults.
+    """
     once = checked_files(files).groupBy("file_id").agg(F.first("library").alias("library"), F.first("language").alias("language"), F.max("fault").alias("fault"))
-    return once.groupBy("library", "language").agg(F.count("*").alias("n_files"), F.count("fault").alias("n_invalid")).withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
+    rates = once.groupBy("library", "language").agg(F.count("*").alias("n_files"), F.count("fault").alias("n_invalid"), F.count_if(F.col("fault") == "parser").alias("n_parser_only"))
+    return rates.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))

@@ -95,3 +95,10 @@ def test_sizes(spark):
     got = {r.doc_id: r for r in sized_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert set(got) == {1, 2, 3, 4, 5} and got[1].source == "user_guide" and got[1].copy_of == got[2].copy_of and got[3].n_tokens == got[4].n_tokens == 0 and got[4].copy_of is None
     assert got[5].n_tokens >= 30_000
+
+
+def test_sources_kept_apart_never_share(spark, small):
+    from spanwright.llm.queries import p7_apart
+
+    rows = p7_apart(spark, small).collect()
+    assert rows and all(r.n_mixed == 0 and r.n_bins > 0 for r in rows)

@@ -85,7 +85,7 @@ def test_python_clean(text):
 
 
 def test_fault_by_extension_and_marks():
-    assert fault("py", "\ufeffx = 1\r\n") is None and fault("py", "if x:\n") == "grammar" and fault("json", "") == "premature" and fault("toml", "a = 1\na = 2\n") == "grammar"
+    assert fault("py", "\ufeffx = 1\r\n") is None and fault("py", "if x:\n") == "premature" and fault("json", "") == "premature" and fault("toml", "a = 1\na = 2\n") == "parser"
     assert fault("mjs", "\ufeffexport const a = 1;\r") is None
 
 
@@ -93,7 +93,7 @@ def test_files(spark):
     data = [(1, "l", "a/b.py", None, "x = (", "x", None), (1, "l", "a/b.py", None, "x = (", "x", None), (2, "l", "a\\c.JSON", None, "{}", None, None), (3, None, "d.toml", "x", None, None, None), (4, "l", "README", None, "(", None, None), (5, "m", None, None, "(", None, None), (6, "m", "q.js", None, "x = " + "(" * 5000 + "1" + ")" * 5000, None, None)]
     df = spark.createDataFrame(data, FILES)
     assert [r.file_id for r in invalid_files(df).collect()] == [1]
-    assert {tuple(r) for r in invalid_rates(df).collect()} == {("l", "python", 1, 1, 1.0), ("l", "json", 1, 0, 0.0), ("m", "javascript", 1, 0, 0.0)}
+    assert {tuple(r) for r in invalid_rates(df).collect()} == {("l", "python", 1, 1, 0, 1.0), ("l", "json", 1, 0, 0, 0.0), ("m", "javascript", 1, 0, 0, 0.0)}
     assert checked_files(df.where("false")).count() == 0 and invalid_rates(df.where("false")).count() == 0
 
 
