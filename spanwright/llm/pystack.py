@@ -150,7 +150,14 @@ def _lines(tokens: list[tuple[str, str, int]]):
         raise _Fault("premature")
 
 
-def _ends_in_colon(line) -> bool:
+def _heads_block(line, word: str) -> bool:
+    """Is there a colon outside brackets, at the end for ``match``?"""
+    depth = 0
+    for kind, s, _ in line:
+        if kind == "op":
+            depth += (s in "([{") - (s in _CLOSER)
+            if s == ":" and not depth and word == "case":
+                return True
     return line[-1][0] == "op" and line[-1][1] == ":"
 
 
@@ -190,7 +197,7 @@ def _check(text: str) -> str | None:
         head = first if first in _COMPOUND else ""
         if first in ("match", "case"):
             second = line[1] if len(line) > 1 else ("", "", 0)
-            soft = _ends_in_colon(line) and len(line) > 2 and not (second[0] == "op" and second[1] in (".", "=", ",", ":", ")", "]", ":=") or second[1] in _AUGMENTED)
+            soft = _heads_block(line, first) and len(line) > 2 and not (second[0] == "op" and second[1] in (".", "=", ",", ":", ")", "]", ":=") or second[1] in _AUGMENTED)
             head = first if soft else ""
         if head == "async":
             head = line[1][1] if len(line) > 1 and line[1][1] in ("def", "for", "with") else "?"
