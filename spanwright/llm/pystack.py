@@ -12,10 +12,10 @@ import re
 
 _STR = r"""(?:[rRbBuU]|[rR][bB]|[bB][rR])?(?:\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}|"(?!"")(?:[^"\\\n]|\\[\s\S])*+"|'(?!'')(?:[^'\\\n]|\\[\s\S])*+'|""|'')"""
 TOKEN = re.compile(
-    rf"""[ \t\f]*+(?:\\\n[ \t\f]*+)*+(?:(?P<nl>\n)|(?P<comment>\#[^\n]*)|(?P<fstr>(?:[fF][rR]?|[rR][fF])(?:\"{{3}}|'{{3}}|"|'))|(?P<str>{_STR})
+    rf"""[ \t\f]*+(?:\\\n[ \t\f]*+)*+(?:(?P<name>[^\W\d]\w*+(?!["']))
+    |(?P<op>[()\[\]{{}},]|(?:\*\*|//|>>|<<|[+\-*/%&|^@=!<>])=|:=|\.\.\.|->|\*\*|//|>>|<<|[+\-*/%@&|^~<>:;=]|\.(?!\d))|(?P<nl>\n)|(?P<fstr>(?:[fF][rR]?|[rR][fF])(?:\"{{3}}|'{{3}}|"|'))|(?P<str>{_STR})
     |(?P<num>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)
-    |(?P<name>[^\W\d]\w*)
-    |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|[+\-*/%&|^@=!<>]=|\*\*|//|>>|<<|[+\-*/%@&|^~<>()\[\]{{}},:;.=])|(?P<end>\Z)|(?P<bad>[\s\S]))""",
+    |(?P<comment>\#[^\n]*)|(?P<word>[^\W\d]\w*)|(?P<end>\Z)|(?P<bad>[\s\S]))""",
     re.X,
 )
 _PLAIN_STR = re.compile(_STR)
@@ -84,35 +84,39 @@ class _Fault(Exception):
 
 
 def _tokens(text: str) -> list[tuple[str, str, int]]:
-    out, at, n = [], 0, len(text)
-    match = TOKEN.match
+    out: list[tuple[str, str, int]] = []
+    add, at, n = out.append, 0, len(text)
     while True:
-        m = match(text, at)
-        kind = m.lastgroup
-        if kind == "end":
-            out.append(("nl", "", n))
-            out.append(("end", "", n))
-            return out
-        start = m.start(kind)
-        at = m.end()
-        if kind == "comment":
-            continue
-        if kind == "fstr":
-            quote = m[kind].lstrip("fFrR")
-            at = fstring_end(text, at, quote)
-            if at < 0:
-                raise _Fault("unterminated")
-            out.append(("str", "f", start))
-        elif kind == "bad":
-            raise _Fault("unterminated" if m[kind] in "\"'" else "premature" if m[kind] == "\\" and at >= n else "char")
-        else:
-            out.append((kind, m[kind], start))
+        for m in TOKEN.finditer(text, at):
+            kind = m.lastgroup
+            if kind == "name" or kind == "op" or kind == "nl":
+                add((kind, m[kind], m.start(kind)))
+            elif kind == "str" or kind == "num":
+                add((kind, m[kind], m.start(kind)))
+            elif kind == "fstr":
+                at = fstring_end(text, m.end(), m[kind].lstrip("fFrR"))
+                if at < 0:
+                    raise _Fault("unterminated")
+                add(("str", "f", m.start(kind)))
+                break
+            elif kind == "word":
+                add(("name", m[kind], m.start(kind)))
+            elif kind == "end":
+                add(("nl", "", n))
+                add(("end", "", n))
+                return out
+            elif kind == "bad":
+                raise _Fault("unterminated" if m[kind] in "\"'" else "premature" if m[kind] == "\\" and m.end() >= n else "char")
 
 
 def _columns(text: str, start: int) -> tuple[int, int]:
     """Indentation of the line a token begins, with tabs as eight columns and as one."""
+    begin = text.rfind("\n", 0, start) + 1
+    gap = text[begin:start]
+    if not gap or gap.isspace() and "\t" not in gap and "\f" not in gap:
+        return len(gap), len(gap)
     col = alt = 0
-    for c in text[text.rfind("\n", 0, start) + 1 : start]:
+    for c in gap:
         if c == " ":
             col += 1
             alt += 1

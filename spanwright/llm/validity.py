@@ -1,11 +1,10 @@
 """Source files that do not parse: lexers with a pushdown stack, then an exact check where one exists.
 
-Every file goes through the lexer of its extension's language (``lexing``), Python
-through a recogniser with stacks of brackets, indents and blocks as well
-(``pystack``).  What they fault is invalid.  Two exact parsers follow: a Python
-file that only the recogniser faults must be refused by the compiler too, and
-what the Python and TOML lexers pass is parsed once more; what that alone finds
-is of the kind ``parser`` and counted apart in the rates.
+Every file goes through the lexer of its extension's language (``lexing``; for
+Python ``pystack``, with stacks of brackets, indents and blocks).  What they fault is
+invalid.  Exact parsers follow: a Python file that the recogniser faults must be
+refused by the compiler too, and what the Python and TOML lexers pass is parsed
+once more; what that alone finds is of the kind ``parser`` and counted apart in the rates.
 
 Defined results: null content is no case; an unknown extension is no case; a
 byte-order mark and any line end are no fault; an empty text is valid Python,
@@ -59,11 +58,10 @@ def fault(ext: str, content: str) -> str | None:
         return toml_fault(text) or (None if _parses(text, tomllib.loads) else "parser")
     if ext not in ("py", "pyi"):
         return javascript_fault(text)
-    sure = python_fault(text)
-    if sure:
-        return sure
-    found, parses = pystack.fault(text), _parses(text, _python)
-    return None if parses else found or "parser"
+    found = pystack.fault(text)
+    if _parses(text, _python):
+        return None
+    return (python_fault(text) or found) if found else "parser"  # the plain lexer names the fault more closely
 
 
 def checked_files(files: DataFrame) -> DataFrame:
