@@ -177,3 +177,21 @@ def failure_cause(name: str | Column) -> Column:
     any_of = lambda *xs: F.exists(p, lambda x: x.isin(*xs))
     constant = ((F.upper(last) == last) & last.rlike(r"\p{Lu}")) | last.startswith("TYPE_")
     return F.when(n.startswith("_"), "private_api").when(F.exists(p, lambda x: x.startswith("_")), "internal_module").when(any_of("test", "tests", "testing"), "test_code").when(any_of("example", "examples", "demo"), "example_code").when(constant, "type_alias_or_constant").otherwise("unknown")
+
+
+def stem_parts(c: str | Column) -> Column:
+    """struct<name, kind> of a file stem: a known kind behind the last ``-`` is taken off, else kind is null."""
+    kind = F.regexp_extract(coalesce_text(c), r"-(class|function|method|variable|property|module)$", 1)
+    return F.struct(F.regexp_replace(coalesce_text(c), r"-(class|function|method|variable|property|module)$", "").alias("name"), F.nullif(kind, F.lit("")).alias("kind"))
+
+
+def retry_reason(payload: str | Column, finish: str | Column) -> Column:
+    """Why a generated document should be asked for again: cut off, empty, degenerate, or no JSON object or list; null if it is fine."""
+    p = col(payload)
+    return F.when(col(finish) == "length", "truncated").when(p.isNotNull() & (F.trim(p) != ""), F.when(looks_degenerate(p), "degenerate").when(~p.rlike(r"^\s*[{\[]") | F.try_parse_json(sanitize(p)).isNull(), "no_json")).otherwise("empty")
+
+
+def tolerant_json(c: str | Column) -> Column:
+    """The JSON value of a text: as it is, else without control characters and a fence around it; null if neither is one."""
+    bare = F.regexp_replace(F.trim(sanitize(c)), r"^```(?:json)?\s*|\s*```$", "")
+    return F.coalesce(F.try_parse_json(col(c)), F.try_parse_json(bare))
