@@ -347,8 +347,8 @@ def _table_batch(ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds)], values], names=[c.split()[0] for c in TABLES.replace("map<string,string>", "map").split(", ")])
 
 
-def shred_tables(results: DataFrame) -> DataFrame:
-    """One row per item of every repeated group of the three JSON columns, with all its leaf values.
+def shred_tables(results: DataFrame, *entities: str) -> DataFrame:
+    """One row per item of every repeated group of the three JSON columns, with all its leaf values (of some entities, if named).
 
     (record_id, source, group_path, entry) names an item, (record_id, source, the
     path above, parent_entry) its parent; item_key and parent_key are the keys of
@@ -360,7 +360,7 @@ def shred_tables(results: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for batch in batches:
             for key, *cells in zip(*(c.to_pylist() for c in batch.columns)):
-                found = list(table_rows(*cells))
+                found = [r for r in table_rows(*cells) if not entities or r[1] in entities]
                 ids.extend([key] * len(found))
                 rows.extend(found)
                 if len(rows) >= 20_000:

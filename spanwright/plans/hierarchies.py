@@ -35,31 +35,31 @@ def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.level_report(table(spark, sf_dir, "analysis_results"), table(spark, sf_dir, "inherited_members"))
 
 
-def shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.shred_tables(table(spark, sf_dir, "analysis_results"))
+def shredded(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
+    return shredding.shred_tables(table(spark, sf_dir, "analysis_results"), *entities)
 
 
 def p6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of components, their values beside their keys."""
-    return shredding.entity_table(shredded(spark, sf_dir), "component", name="string", component_kind="string", docstring="string", line_number="int")
+    return shredding.entity_table(shredded(spark, sf_dir, "component"), "component", name="string", component_kind="string", docstring="string", line_number="int")
 
 
 def p6_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.entity_table(shredded(spark, sf_dir), "parameter", **{"type": "string", "default": "string"})
+    return shredding.entity_table(shredded(spark, sf_dir, "parameter"), "parameter", **{"type": "string", "default": "string"})
 
 
 def p6_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants with their text, whichever of the shapes they come in."""
-    found = shredding.entity_table(shredded(spark, sf_dir), "signature", **{"text": "string", "=": "string"})
+    found = shredding.entity_table(shredded(spark, sf_dir, "signature"), "signature", **{"text": "string", "=": "string"})
     return found.select("record_id", "item_key", "parent_key", F.coalesce("text", "value").alias("text"))
 
 
 def p6_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.entity_table(shredded(spark, sf_dir), "export", exported_name="string", target_item_fqn="string", is_explicit="boolean").select("record_id", "entry", F.col("parent_key").alias("module"), "exported_name", "target_item_fqn", "is_explicit")
+    return shredding.entity_table(shredded(spark, sf_dir, "export"), "export", exported_name="string", target_item_fqn="string", is_explicit="boolean").select("record_id", "entry", F.col("parent_key").alias("module"), "exported_name", "target_item_fqn", "is_explicit")
 
 
 def p6_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shredding.entity_table(shredded(spark, sf_dir), "imports", raw_module_specifier="string", level="int")
+    found = shredding.entity_table(shredded(spark, sf_dir, "imports"), "imports", raw_module_specifier="string", level="int")
     return found.select("record_id", "entry", F.col("parent_key").alias("module"), "raw_module_specifier", "level")
 
 
