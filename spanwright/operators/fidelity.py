@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # fixed values: thresholds
 EXACT, PARTIAL = 0.995, 0.75
@@ -41,14 +40,6 @@ def alignment(unit: str, source: str) -> float:
     return difflib.SequenceMatcher(None, source[start : start + len(unit)], unit, autojunk=False).ratio()
 
 
-def drift(doc_signature: str | None, variants: list[str]) -> float:
-    """1 minus the best ratio of a documented signature with the code's variants; 0 if either is missing."""
-    if not doc_signature or not variants:
-        return 0.0
-    a = re.sub(r"\s+", "", doc_signature.lower())
-    return min(1 - difflib.SequenceMatcher(None, a, re.sub(r"\s+", "", v.lower())).ratio() for v in variants)
-
-
 def grounding(pairs: DataFrame) -> DataFrame:
     """(id, n_units, grounded, partial, score) of (id, doc, source); an absent source leaves score null, an absent doc has no units."""
 
@@ -65,12 +56,27 @@ def grounding(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "doc", "source").mapInPandas(run, "id long, n_units long, grounded long, partial long, score double")
 
 
-def signature_drift(pairs: DataFrame) -> DataFrame:
-    """(id, drift) of (id, doc_signature, variants array<string>)."""
+# fixed values: looser bounds for what a description leaves out, and the shortest unit that counts
+COVERED, HALF_COVERED, LEAST_CHARS = 0.90, 0.55, 12
+
+
+def omissions(pairs: DataFrame) -> DataFrame:
+    """(id, unit_no, unit, kind) of (id, doc, source): sentences of the source that the description leaves out (``omitted``) or
+    half covers (``partial``); a null source or description gives none, headings and very short units do not count."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            vals = [round(drift(d, list(v) if v is not None else []), 6) for d, v in zip(pdf["doc_signature"], pdf["variants"])]
-            yield pd.DataFrame({"id": pdf["id"], "drift": vals})
-
-    return pairs.select("id", "doc_signature", F.coalesce("variants", F.array().cast("array<string>")).alias("variants")).mapInPandas(run, "id long, drift double")
+            rows = []
+            for key, doc, source in zip(pdf["id"], pdf["doc"], pdf["source"]):
+                if not isinstance(doc, str) or not isinstance(source, str):
+                    continue
+                told = canonical(doc)
+                for no, unit in enumerate(units(source)):
+                    u = canonical(unit)
+                    if len(u) >= LEAST_CHARS and not unit.startswith("#"):
+                        r = alignment(u, told)
+                        if r < COVERED:
+                            rows.append((key, no, unit, "partial" if r >= HALF_COVERED else "omitted"))
+            yield pd.DataFrame(rows, columns=["id", "unit_no", "unit", "kind"])
+
+    return pairs.select("id", "doc", "source").mapInPandas(run, "id long, unit_no long, unit string, kind string")

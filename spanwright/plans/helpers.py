@@ -8,10 +8,14 @@ from spanwright.functions import text as X
 from spanwright.functions import types as T
 from spanwright.functions import urls as U
 from spanwright.functions.columns import coalesce_text, first_present
+from spanwright.operators import catalog as C
+from spanwright.operators import docview as V
 from spanwright.operators import evaluation as E
 from spanwright.operators import extraction as N
+from spanwright.operators import maintenance as M
 from spanwright.operators import registry as R
-from spanwright.plans.catalogue import _DEPS, cur, inh, mods, module_dependencies
+from spanwright.plans.catalogue import _DEPS, _NAMES, _all_names, cur, inh, mods, module_dependencies, wanted_names
+from spanwright.plans.evaluating import _VIEW, inherited_documents
 from spanwright.plans.registry import CUR, INH, MODS, PRESENT, Registry
 from spanwright.plans.relations import _SRC, src
 from spanwright.runtime import table
@@ -130,4 +134,45 @@ def library_distributions(s, d):
     return n.select("library", "n", R.distribution_names("library")[1].alias("second_name"))
 
 
+@query(f"WITH {_SRC}, t AS (SELECT library, file_id, regexp_extract(content, '(?m)^name\\s*=\\s*\"([^\"]+)\"', 1) AS name, regexp_extract(content, '(?m)^version\\s*=\\s*\"([^\"]+)\"', 1) AS version, CASE WHEN ends_with(lower(file_path), 'pyproject.toml') THEN 0 ELSE 1 END AS tier FROM src WHERE content IS NOT NULL AND ends_with(lower(file_path), '.toml')) SELECT library, arg_min(name, (tier, file_id)) AS name, arg_min(version, (tier, file_id)) AS version, count(*) AS n FROM t WHERE library IS NOT NULL AND name <> '' AND version <> '' GROUP BY 1")
+def project_metadata(s, d):
+    """Name and version that each library's packaging files give: the project file's before other tables', the least file of equals."""
+    t = src(s, d, "library", "file_path", "content").where("content is not null and library is not null and endswith(lower(file_path), '.toml')")
+    return S.project_metadata(t)
+
+
+@query(f"WITH {CUR}, {INH}, own AS (SELECT primary_api_name AS name, id, 0 AS tier FROM cur WHERE primary_api_name IS NOT NULL UNION ALL SELECT unnest(all_api_names), id, 1 FROM cur UNION ALL SELECT fully_qualified_name, id, 3 FROM cur WHERE fully_qualified_name IS NOT NULL), al AS (SELECT name, 'member' AS kind, id, tier FROM own UNION ALL SELECT inherited_api_name, 'inherited', id, 9 FROM inh), b AS (SELECT name, arg_min(kind || ':' || id, (tier, id, kind)) AS key FROM al WHERE name IS NOT NULL GROUP BY 1), w AS (SELECT DISTINCT name FROM (SELECT member_fqn AS name FROM scraped_docs UNION ALL SELECT original_fqn FROM inh UNION ALL SELECT inherited_api_name FROM inh) WHERE name IS NOT NULL) SELECT w.name, b.key FROM w LEFT JOIN b USING (name)")
+def member_keys(s, d):
+    """One key per wanted name: member:id, else inherited:id, else null."""
+    own = C.own_names(cur(s, d, "primary_api_name", "all_api_names", "fully_qualified_name"))
+    found = M.find_rows(wanted_names(s, d), own, inh(s, d, "inherited_api_name").select(F.col("inherited_api_name").alias("name"), "id"))
+    return found.select("name", F.when(F.col("id").isNotNull(), F.concat_ws(":", "kind", "id")).alias("key"))
+
+
+@query(f"WITH {CUR}, {INH}, {_NAMES}, w AS (SELECT DISTINCT name FROM (SELECT member_fqn AS name FROM scraped_docs UNION ALL SELECT original_fqn FROM inh UNION ALL SELECT inherited_api_name FROM inh) WHERE name IS NOT NULL) SELECT count(*) AS n_names, count(tier) AS n_matched, round(count(tier) / count(*), 6)::DOUBLE AS accuracy FROM w LEFT JOIN best USING (name)")
+def resolution_accuracy(s, d):
+    """The share of wanted names that stand for something known."""
+    found = C.resolve(wanted_names(s, d), _all_names(s, d))
+    return found.agg(F.count("*").alias("n_names"), F.count("tier").alias("n_matched"), F.round(F.coalesce(F.try_divide(F.count("tier").cast("double"), F.count("*")), F.lit(0.0)), 6).alias("accuracy"))
+
+
+@query(f"WITH {_VIEW} SELECT id, 'module_member_description' AS label, purpose AS text FROM dv WHERE {PRESENT.format('purpose')} UNION ALL SELECT id, 'parameters[' || p.name || '].description', p.description FROM (SELECT id, unnest(params) AS p FROM dv) WHERE {PRESENT.format('p.description')}")
+def document_sections(s, d):
+    """The prose of inherited members' documentation, section by section."""
+    return inherited_documents(s, d).select("id", F.inline(V.sections())).select("id", "label", "text")
+
+
+@query(f"WITH {_VIEW} SELECT id FROM dv WHERE NOT coalesce({PRESENT.format('purpose')}, false) AND NOT coalesce({PRESENT.format('signature')}, false)")
+def empty_documents(s, d):
+    """Inherited members whose documentation says nothing at all."""
+    return inherited_documents(s, d).where(V.is_empty()).select("id")
+
+
+@query(f"WITH {_VIEW} SELECT section, count(*) AS n FROM (SELECT 'module_member_description' AS section FROM dv WHERE {PRESENT.format('purpose')} UNION ALL SELECT 'parameters' FROM (SELECT unnest(params) AS p FROM dv) WHERE {PRESENT.format('p.description')}) GROUP BY 1")
+def section_groups(s, d):
+    """Sections of documentation by what stands before the first bracket or dot of their label."""
+    labels = inherited_documents(s, d).select(F.inline(V.sections()))
+    return labels.groupBy(F.regexp_extract("label", r"^([^\[.]*)", 1).alias("section")).agg(F.count("*").alias("n"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -88,13 +88,21 @@ def grounding(s, d):
     return fidelity.grounding(i.select("id", F.col("doc_description").alias("doc"), "source"))
 
 
+@query(None)
+def omitted_units(s, d):
+    """What the docstrings of originals say and the stored descriptions of inherited members leave out."""
+    c = cur(s, d, "docstring").select(F.col("id").alias("original_member_id"), F.col("docstring").alias("source"))
+    i = inh(s, d, "original_member_id", "doc_description").where("doc_description is not null and original_member_id is not null").join(c, "original_member_id")
+    return fidelity.omissions(i.select("id", F.col("doc_description").alias("doc"), "source"))
+
+
 @query(None)
 def signature_drift(s, d):
-    """Drift of stored signatures from the original's parameter names."""
-    names = F.concat(F.col("name"), F.lit("("), F.array_join(F.transform(F.coalesce("parameters", F.array()), lambda p: p["name"]), ","), F.lit(")"))
-    c = cur(s, d, "name", "parameters").select(F.col("id").alias("original_member_id"), F.array(names).alias("variants"))
-    i = inh(s, d, "original_member_id", "signature").where("original_member_id is not null").join(c, "original_member_id", "left")
-    return fidelity.signature_drift(i.select("id", F.get_json_object("signature", "$.no_types").alias("doc_signature"), "variants"))
+    """How far stored signatures, whatever variant they give, are from those of the original."""
+    from spanwright.operators.evaluation import with_drift
+    from spanwright.plans.evaluating import inherited_documents
+
+    return with_drift(inherited_documents(s, d).where("has_truth")).where("drift is not null").select("id", F.round("drift", 6).alias("drift"))
 
 
 @query(f"WITH {_DEPS}, d AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM deps UNION ALL SELECT dst FROM deps) GROUP BY 1) SELECT node, round(k / (SELECT sum(k) FROM d), 9)::DOUBLE AS importance FROM d")

@@ -46,6 +46,13 @@ def excluded(files: DataFrame, patterns: DataFrame) -> DataFrame:
     return files.join(F.broadcast(patterns.distinct()), "library").where(hit).select("file_id", "pattern").distinct()  # a fixed table
 
 
+def project_metadata(tables: DataFrame) -> DataFrame:
+    """(library, name, version, n) of packaging tables (library, file_id, file_path, content): what a project file says before what others say."""
+    field = lambda name: F.regexp_extract("content", rf'(?m)^{name}\s*=\s*"([^"]+)"', 1)
+    t = tables.select("library", "file_id", field("name").alias("name"), field("version").alias("version"), F.when(F.lower("file_path").endswith("pyproject.toml"), 0).otherwise(1).alias("tier")).where("name <> '' and version <> ''")
+    return t.groupBy("library").agg(F.min_by(F.struct("name", "version"), F.struct("tier", "file_id")).alias("r"), F.count("*").alias("n")).select("library", "r.name", "r.version", "n")
+
+
 def cache_key(*cols: str):
     """sha-256 of the columns' texts."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)

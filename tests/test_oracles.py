@@ -55,6 +55,7 @@ ROWS = {
     "maintainability": (150, lambda r: 0 <= r.score <= 1),
     "member_spans": (0, lambda r: r.end_line >= r.start_line),
     "mended_documents": (150, lambda r: r.candidate and r.n_applied >= 0),
+    "omitted_units": (1, lambda r: r.kind in ("omitted", "partial") and r.unit),
     "overall_scores": (900, lambda r: 0 <= r.overall <= 1 and (not r.skipped or r.overall == 0)),
     "overload_categories": (1, lambda r: r.overload in ("primary", "secondary", "specific")),
     "patch_counts": (3, lambda r: r.strategy in ("db_query", "ast_derived")),

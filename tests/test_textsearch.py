@@ -3,7 +3,8 @@ import pytest
 
 from spanwright.operators import sections
 from spanwright.operators import textsearch as T
-from spanwright.operators.fidelity import alignment, canonical, drift, grounding
+from spanwright.operators.evaluation import drift_of
+from spanwright.operators.fidelity import alignment, canonical, grounding, omissions
 from spanwright.operators.relations import nearest_definition
 
 
@@ -43,10 +44,12 @@ def test_sections(spark):
 def test_fidelity(spark):
     assert canonical("A “b”\nc-\nd") == 'a "b" cd'
     assert alignment("walks it", "he walks it now") == 1.0 and alignment("walks at", "he walks it now") > 0.7 > alignment("zzzz", "he walks")
-    assert drift("f(a, b)", ["f(a,b)", "x"]) == 0 and drift(None, ["f"]) == 0
+    assert drift_of("f(a, b)", {"full": "f(a, b)", "no_types": "x"}) == 0 and drift_of(None, {"full": "f"}) is None and drift_of("f", {}) is None
     df = spark.createDataFrame([(1, "It walks. Zqx jv.", "It walks."), (2, None, "x"), (3, "a", None)], "id long, doc string, source string")
     got = {r.id: (r.n_units, r.grounded, r.score) for r in grounding(df).collect()}
     assert got == {1: (2, 1, 0.5), 2: (0, 0, None), 3: (1, 0, None)}
+    src = spark.createDataFrame([(1, "It walks along the shore.", "It walks along the shore. Then it sleeps for eleven hours. It walked along the shores."), (2, None, "x" * 20), (3, "a", None)], "id long, doc string, source string")
+    assert [(r.id, r.unit_no, r.kind) for r in omissions(src).collect()] == [(1, 1, "omitted")]
 
 
 def test_nearest_definition(spark):
